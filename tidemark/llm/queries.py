@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_tree, decontamination, hmm, quality_gbdt, quality_rules, sharding, simhash, suffix_dedup, token_counts
+from tidemark.llm import bpe_tree, compact_windows, decontamination, hmm, quality_gbdt, quality_rules, sharding, simhash, suffix_dedup, token_counts
 from tidemark.llm.common import documents
 
 
@@ -35,6 +35,10 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(documents(spark, sf_dir)))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_duplicate_passages(documents(spark, sf_dir))
+
+
 def op8_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbdt.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
