@@ -1,4 +1,4 @@
-"""A corpus pipeline, each one operator of tidemark.llm.
+"""A corpus pipeline of five stages, each one operator of tidemark.llm.
 
 Each stage reads the documents that its predecessor wrote, decides over all of them and returns what it keeps with the
 columns of documents; the last returns the encoded documents.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_tree, decontamination, quality_rules, simhash
+from tidemark.llm import bpe_tree, compact_windows, decontamination, quality_rules, simhash
 from tidemark.llm.common import stored
 
 
@@ -23,6 +23,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that near-duplicate an earlier passage are cut out; a document with nothing left goes."""
+    return compact_windows.cut(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -36,6 +41,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality rules", quality_rule_stage),
     ("SimHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_dedup_stage),
     ("benchmark decontamination", decontamination_stage),
     ("byte-level BPE", encoding_stage),
 ]
