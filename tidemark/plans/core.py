@@ -166,7 +166,7 @@ def survival_summary(spark, sf):
 
 @query(f"WITH {S.LADDERS} SELECT tier, count(*) FILTER (WHERE direction = 'a_yes_b_no') AS a_yes_b_no, count(*) FILTER (WHERE direction = 'a_no_b_yes') AS a_no_b_yes FROM lad GROUP BY 1")
 def tier_distribution(spark, sf):
-    return _ladders(spark, sf).groupBy("tier").pivot("direction", list(P.DIRECTIONS)).agg(F.count("*")).fillna(0, list(P.DIRECTIONS))
+    return _ladders(spark, sf).groupBy("tier").pivot("direction", list(P.DIRECTIONS)).agg(F.count(F.lit(1))).fillna(0, list(P.DIRECTIONS))
 
 
 @query(f"""WITH {EPS}, bk AS (SELECT market, CASE WHEN bool_or(is_basis) THEN 'basis_suspect' WHEN bool_or(bucket = 'transient_candidate') THEN 'transient_candidate' ELSE 'unusable' END AS bucket FROM eps GROUP BY 1)
