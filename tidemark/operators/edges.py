@@ -17,26 +17,21 @@ def both_fresh(a: Column, b: Column) -> Column:
     return F.when(either, F.lit(False)).when((a == "fresh") & (b == "fresh"), F.lit(True))
 
 
-def _ladder(side: str, book: str, name: str) -> list[Column]:
-    """Price and cumulative size of each level as named columns; a level without price or size has no width."""
-    out, total = [], F.lit(0.0)
+def _ladder(side: str, book: str, name: str) -> list[str]:
+    """SQL of price and cumulative size of each level; a level without price or size has no width."""
+    out, widths = [], []
     for i in range(1, LEVELS + 1):
-        px, sz = F.col(f"{book}.{side}_px_{i}"), F.col(f"{book}.{side}_sz_{i}")
-        total = total + F.when(px.isNotNull() & (sz > 0), sz).otherwise(0.0)
-        price = px if side == "ask" else F.lit(1.0) - px
-        out += [F.coalesce(price, F.lit(0.0)).alias(f"{name}p{i}"), total.alias(f"{name}h{i}")]
+        px, sz = f"{book}.{side}_px_{i}", f"{book}.{side}_sz_{i}"
+        widths.append(f"CASE WHEN {px} IS NOT NULL AND {sz} > 0 THEN {sz} ELSE 0D END")
+        out += [f"coalesce({px if side == 'ask' else f'1D - {px}'}, 0D) AS {name}p{i}", f"{' + '.join(widths)} AS {name}h{i}"]
     return out
 
 
-def _overlaps() -> list[Column]:
-    """(size, taken up to the target, both prices) of the 5 x 5 overlaps of two ladders seen as cumulative intervals."""
-    at = lambda name, i: F.col(f"d.{name}{i}") if i else F.lit(0.0)
-    out = []
-    for i in range(1, LEVELS + 1):
-        for j in range(1, LEVELS + 1):
-            low, high = F.greatest(at("ah", i - 1), at("bh", j - 1)), F.least(at("ah", i), at("bh", j))
-            out.append(F.struct(low.alias("lo"), high.alias("hi"), at("ap", i).alias("pa"), at("bp", j).alias("pb")))
-    return out
+def _overlaps() -> str:
+    """SQL of the 5 x 5 overlaps (lo, hi, both prices) of two ladders seen as cumulative intervals."""
+    at = lambda name, i: f"d.{name}{i}" if i else "0D"
+    pairs = [(i, j) for i in range(1, LEVELS + 1) for j in range(1, LEVELS + 1)]
+    return ", ".join(f"struct(greatest({at('ah', i - 1)}, {at('bh', j - 1)}) AS lo, least({at('ah', i)}, {at('bh', j)}) AS hi, {at('ap', i)} AS pa, {at('bp', j)} AS pb)" for i, j in pairs)
 
 
 def _summed(f) -> Column:
@@ -45,7 +40,7 @@ def _summed(f) -> Column:
 
 def depth(rows: DataFrame, fee: float, target: float) -> DataFrame:
     """Adds filled, cost_a, cost_b (up to the target) and max_profitable_size (all profitable overlaps, not a prefix)."""
-    chunks = F.filter(F.array(*_overlaps()), lambda c: c["hi"] - c["lo"] > P.EPS)
+    chunks = F.expr(f"filter(array({_overlaps()}), c -> c.hi - c.lo > {P.EPS:.20f})")
     taken = lambda c: F.greatest(F.lit(0.0), F.least(c["hi"], F.lit(target)) - c["lo"])
     out = rows.withColumn("chunks", chunks)
     good = _summed(lambda c: F.when(F.lit(1.0) - (c["pa"] + c["pb"]) - F.lit(fee) > 0, c["hi"] - c["lo"]).otherwise(0.0))
@@ -65,9 +60,9 @@ def derive(matched: DataFrame, fee: float = P.FLAT_FEE, target: float = 1.0) ->
         F.greatest("l.capture_seq", "r.capture_seq").cast("double").alias("source_seq"), ((F.col("l.recv_ns") - F.col("r.recv_ns")) / 1e6).alias("skew_ms"),
         F.col("l.status").alias("a_status"), F.col("r.status").alias("b_status"), F.greatest("l.staleness_s", "r.staleness_s").alias("max_staleness_s"), both_fresh(F.col("l.status"), F.col("r.status")).alias("books_fresh"), F.col("l.include").alias("include"),
     ]
-    sides = (("a_yes_b_no", "ask", "bid", F.col("r.best_bid") - F.col("l.best_ask")), ("a_no_b_yes", "bid", "ask", F.col("l.best_bid") - F.col("r.best_ask")))
-    rows = [F.struct(F.lit(name).alias("direction"), raw.alias("raw_edge"), *_ladder(sa, "l", "a"), *_ladder(sb, "r", "b")) for name, sa, sb, raw in sides]
-    out = matched.select(*base, F.explode(F.array(*rows)).alias("d")).filter("d.raw_edge IS NOT NULL")
+    sides = (("a_yes_b_no", "ask", "bid", "r.best_bid - l.best_ask"), ("a_no_b_yes", "bid", "ask", "l.best_bid - r.best_ask"))
+    rows = [f"struct('{name}' AS direction, {raw} AS raw_edge, {', '.join(_ladder(sa, 'l', 'a') + _ladder(sb, 'r', 'b'))})" for name, sa, sb, raw in sides]
+    out = matched.select(*base, F.expr(f"explode(array({', '.join(rows)}))").alias("d")).filter("d.raw_edge IS NOT NULL")
     kept = [c for c in out.columns if c != "d"]
     out = depth(out, fee, target)
     vwap = F.when(F.col("filled") > 0, (F.col("cost_a") + F.col("cost_b")) / F.col("filled"))

@@ -87,7 +87,7 @@ def in_edge_runs(edges: DataFrame, hit: Column, by: list[str], order: list[str])
 
 def ewma(samples: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.2) -> DataFrame:
     """Exponential moving average of each key, seeded by its first sample: a fold over the key's ordered samples."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v"))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))))
     rows = samples.groupBy(*by).agg(ordered.alias("_x"))
-    fold = F.aggregate(F.slice("_x", 2, F.greatest(F.size("_x") - 1, F.lit(0))), F.get("_x", F.lit(0))["v"], lambda a, x: (1 - alpha) * a + alpha * x["v"])
+    fold = F.aggregate(F.slice("_x", 2, F.greatest(F.size("_x") - 1, F.lit(0))), F.get("_x", F.lit(0))["_v"], lambda a, x: (1 - alpha) * a + alpha * x["_v"])
     return rows.select(*by, fold.alias("ewma"))

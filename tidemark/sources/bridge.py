@@ -17,28 +17,16 @@ _RUNGS = "0, 25, 100, 250, 500, 1000"
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each quote: keys, clocks, freshness, top of book and five levels a side."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("capture_ts"), "user_id", "event_type", "value")
-    cents = F.lit(30).cast("int") + F.pmod(F.floor(F.col("value") * 100), F.lit(21)).cast("int")
-    e = e.withColumn("_mid", cents)
     levels = []
     for i in range(1, LEVELS + 1):
-        size = (F.lit(1) + F.pmod(F.col("event_id") * (7 * i), F.lit(50))).cast("double")
-        levels += [((F.col("_mid") - i) / 100.0).alias(f"bid_px_{i}"), size.alias(f"bid_sz_{i}"), ((F.col("_mid") + i) / 100.0).alias(f"ask_px_{i}"), size.alias(f"ask_sz_{i}")]
-    staleness = F.pmod("event_id", F.lit(97)).cast("double")
-    return e.select(
-        F.when(F.pmod("event_id", F.lit(2)) == 0, "A").otherwise("B").alias("leg"),
-        F.col("event_type").alias("market_id"),
-        F.col("event_id").alias("capture_seq"),
-        "capture_ts",
-        (F.unix_micros("capture_ts") - F.lit(1704067200000000)).alias("recv_ns"),
-        staleness.alias("staleness_s"),
-        F.when(staleness > 60, "stale").otherwise("fresh").alias("status"),
-        ((F.col("_mid") - 1) / 100.0).alias("best_bid"),
-        ((F.col("_mid") + 1) / 100.0).alias("best_ask"),
-        (F.col("_mid") / 100.0).alias("mid"),
-        F.col("value").alias("fetch_ms"),
-        "user_id",
-        *levels,
-    )
+        size = f"CAST(1 + pmod(event_id * {7 * i}, 50) AS DOUBLE)"
+        levels += [f"(m - {i}) / 100D AS bid_px_{i}", f"{size} AS bid_sz_{i}", f"(m + {i}) / 100D AS ask_px_{i}", f"{size} AS ask_sz_{i}"]
+    return e.selectExpr("*", "CAST(30 + pmod(floor(value * 100), 21) AS INT) AS m").selectExpr(
+        "CASE WHEN pmod(event_id, 2) = 0 THEN 'A' ELSE 'B' END AS leg", "event_type AS market_id", "event_id AS capture_seq", "capture_ts",
+        "unix_micros(capture_ts) - 1704067200000000 AS recv_ns", "CAST(pmod(event_id, 97) AS DOUBLE) AS staleness_s",
+        "CASE WHEN pmod(event_id, 97) > 60 THEN 'stale' ELSE 'fresh' END AS status", "(m - 1) / 100D AS best_bid", "(m + 1) / 100D AS best_ask",
+        "m / 100D AS mid", "value AS fetch_ms", "user_id", *levels,
+    )
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,10 @@ def json_scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of all JSON-lines files below a path; blank and broken lines are skipped; _file is where a row came from."""
     bad = "_corrupt"
     whole = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField(bad, T.StringType())])
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("recursiveFileLookup", True).json(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("_file")).filter(F.col(bad).isNull()).drop(bad)
+    # Lines are parsed by an expression: a JSON reader may not be asked for the corrupt-record column alone.
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("_file")).filter(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("_x"), "_file")
+    return rows.filter(F.col(f"_x.{bad}").isNull()).select("_x.*", "_file").drop(bad)
 
 
 def books(spark: SparkSession, path: str) -> DataFrame:
