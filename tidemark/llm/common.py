@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
-import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +30,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+        shared = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
@@ -40,7 +42,7 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -130,10 +130,23 @@ def _sliding(best: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray
     return best(x[: len(x) - (w - have)], x[w - have :]) if w > have else x
 
 
+#: Values that the sliding windows hold at once, whatever the length of a run.
+STRETCH = 1 << 18
+
+
 def minimizers(x: np.ndarray, w: int) -> np.ndarray:
     """Positions whose value is the least of some window of w values (ties are all taken)."""
-    if len(x) < w:
+    found = [_minimizers(x, w, s, min(len(x), s + STRETCH)) for s in range(0, len(x), STRETCH)] if len(x) >= w else []
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _minimizers(x: np.ndarray, w: int, s: int, e: int) -> np.ndarray:
+    """Those between s and e: a position's windows reach w - 1 values to either side."""
+    a = max(0, s - w + 1)
+    part = x[a : min(len(x), e + w - 1)]
+    if len(part) < w:
         return np.zeros(0, np.int64)
-    low, pad = _sliding(np.minimum, x, w), np.zeros(w - 1, x.dtype)
+    low, pad = _sliding(np.minimum, part, w), np.zeros(w - 1, x.dtype)
     # No window that holds a position has a larger minimum than its value; one has that very value.
-    return np.flatnonzero(_sliding(np.maximum, np.concatenate((pad, low, pad)), w) == x)
+    at = np.flatnonzero(_sliding(np.maximum, np.concatenate((pad, low, pad)), w) == part) + a
+    return at[(at >= s) & (at < e)]

@@ -28,11 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, stored
-from tidemark.llm.runs import RUN_BYTES, answers, ask, bucket_bounds, in_runs, minimizers, mixed, pack, unpack, with_answers
+from tidemark.llm.runs import answers, ask, bucket_bounds, in_runs, minimizers, mixed, pack, unpack, with_answers
 
 LENGTH, GRAM = 100, 50
 #: Bytes before an anchor that a string of LENGTH bytes can hold.
@@ -43,6 +44,8 @@ WIDTH = LENGTH + BEFORE
 _B = 0x5851F42D4C957F2D
 _INVERSE = pow(_B, -1, 2**64)
 BLOCK = 1 << 18
+#: Bytes of text in a run: a worker holds a few numbers for each byte.
+RUN_BYTES = 3_000_000
 _POWERS, _INVERSES = (np.concatenate((np.ones(1, np.uint64), np.full(BLOCK, b, np.uint64))).cumprod(dtype=np.uint64) for b in (_B, _INVERSE))
 NULL_ID = 2**63 - 1
 
@@ -233,10 +236,10 @@ def _suffixes(n_buckets: int):
             "doc_id": docs.doc_id, "size": docs.end - docs.start, "start": new_start, "has": has,
             "sha": [None if x else hashlib.sha256(t).hexdigest() for x, t in zip(has, docs.text)],
             "text": b"".join(t for x, t in zip(has, docs.text) if x),
-            "counts": np.array([len(m) for m in members], np.int64),
-            "members": moved(docs, members, new_start),
+            "counts": np.array([len(m) for m in members], np.int32),
+            "members": moved(docs, members, new_start).astype(np.int32),
         }
-        rows.append((1, docs.run, -1, pickle.dumps(state, protocol=5)))
+        rows.append((1, docs.run, -1, zstandard.compress(pickle.dumps(state, protocol=5), 3)))
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("kind", pa.int32()), ("run", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())))})
 
     return run
@@ -344,12 +347,12 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 def _removed(states: pa.Table, replies: pa.Table) -> pa.Table:
     if not states.num_rows:
         return _RESULT.empty_table()
-    s = pickle.loads(states.column("blob")[0].as_py())
+    s = pickle.loads(zstandard.decompress(states.column("blob")[0].as_py()))
     size, start, has = s["size"], s["start"], s["has"]
     n_removed, n_spans, sha = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), list(s["sha"])
     if has.any():
         told = answers(replies)
-        at, counts = s["members"], s["counts"]
+        at, counts = s["members"].astype(np.int64), s["counts"].astype(np.int64)
         first = np.zeros(len(at), bool)
         first[np.cumsum(counts) - counts] = True
         held = np.flatnonzero(has)
