@@ -23,17 +23,19 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, stored
 from tidemark.llm.components import components
-from tidemark.llm.runs import RUN_BYTES, answers, ask, in_runs, minimizers, mixed, pack, unpack, with_answers
+from tidemark.llm.runs import answers, ask, in_runs, minimizers, mixed, pack, unpack, with_answers
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Tokens of the shortest passage: 50 words.
@@ -42,42 +44,76 @@ FUNCTIONS, ENOUGH = 6, 3
 #: Tokens of the earlier document, on each side, within which an aligned passage may have shifted.
 SLACK = 8
 NO_ID = -(2**63)
+#: Bytes of text in a run.
+RUN_BYTES = 4_000_000
 _SALTS = [np.uint64(xxhash.xxh64_intdigest(b"function", k)) for k in range(FUNCTIONS)]
 _STEPS = [np.uint64(xxhash.xxh64_intdigest(b"place", k) | 1) for k in range(SHINGLE)]
 
 
+#: Bytes that are hashed together; words over a border are hashed by themselves.
+BLOCK = 1 << 18
+_B = 0x9E3779B97F4A7C15
+_POWERS, _INVERSES = (np.concatenate((np.ones(1, np.uint64), np.full(BLOCK, b, np.uint64))).cumprod(dtype=np.uint64) for b in (_B, pow(_B, -1, 2**64)))
+_LOWER = np.array([c + 33 if 65 <= c <= 90 else c + 1 for c in range(256)], np.uint64)
+_SPACE = np.array([c in b" \t\n\x0b\x0c\r" for c in range(256)], bool)
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of each word: a polynomial over lower-cased bytes from prefix sums, the word's length mixed in."""
+    space = np.concatenate((np.ones(1, bool), _SPACE[raw], np.ones(1, bool)))
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    out = np.zeros(len(starts), np.uint64)
+    for at in range(0, len(raw), BLOCK):
+        part = _LOWER[raw[at : at + BLOCK]]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * _POWERS[: len(part)], dtype=np.uint64)))
+        lo, hi = np.searchsorted(starts, at), np.searchsorted(starts, at + len(part))
+        s, e = starts[lo:hi] - at, np.minimum(ends[lo:hi] - at, len(part))
+        out[lo:hi] = (sums[e] - sums[s]) * _INVERSES[s]
+        if hi > lo and ends[hi - 1] > at + len(part):  # the rest of a word that the border cuts
+            value, power = int(out[hi - 1]), pow(_B, int(len(part) - s[-1]), 2**64)
+            for c in raw[at + len(part) : ends[hi - 1]].tolist():
+                value, power = (value + int(_LOWER[c]) * power) % 2**64, power * _B % 2**64
+            out[hi - 1] = value
+    return starts, mixed(out + (ends - starts).astype(np.uint64) * _STEPS[0])
+
+
 class Shingles:
     """Tokens of all documents of a run, one behind another, in the order of doc_id."""
 
     def __init__(self, table: pa.Table):
         ids = [NO_ID if i is None else i for i in table.column("doc_id").to_pylist()]
-        texts = table.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
+        raw = [t.encode() for t in table.column("text").to_pylist()]
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], raw[k]))
         self.run = table.column("run")[0].as_py()
         self.doc_id = np.array([ids[k] for k in order], np.int64)
-        seen: dict[bytes, int] = {}
-        docs = [[seen.setdefault(w, len(seen)) for w in texts[k].encode().lower().split()] for k in order]
-        hashes = np.array([xxhash.xxh64_intdigest(w, 0) for w in seen], np.uint64)
-        self.n_words = np.array([len(d) for d in docs], np.int64)
+        begins = np.cumsum([0, *(len(raw[k]) + 1 for k in order)])
+        starts, w = word_hashes(np.frombuffer(b" ".join(raw[k] for k in order), np.uint8))
+        first = np.searchsorted(starts, begins)
+        self.n_words = np.diff(first)
         self.size = np.maximum(0, self.n_words - SHINGLE + 1)
         self.start = np.cumsum(self.size) - self.size
-        tokens = []
-        for d, n in zip(docs, self.size.tolist()):
-            if n:
-                w = hashes[d]
-                tokens.append(mixed(sum((w[k : k + n] * _STEPS[k] for k in range(SHINGLE)), np.zeros(n, np.uint64))))
-        self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+        n = max(0, len(w) - SHINGLE + 1)
+        tokens = np.zeros(n, np.uint64)
+        for k in range(SHINGLE):
+            tokens += w[k : k + n] * _STEPS[k]
+        # Shingles over the end of a document go.
+        inside = np.ones(n, bool)
+        last = first[1:] - SHINGLE + 1
+        for k in range(SHINGLE - 1):
+            at = last + k
+            inside[at[(at >= first[:-1]) & (at < n)]] = False
+        self.tokens = mixed(tokens[inside])
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         """Documents of token positions; documents without tokens hold none."""
         return np.searchsorted(self.start, at, side="right") - 1
 
-    def least(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, position, function) of every value that is least in some passage of PASSAGE tokens of one document."""
+    def least(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, position, function, value) of every value that is least in a passage of PASSAGE tokens of one document."""
         held = np.flatnonzero((self.size > 0) & (self.doc_id != NO_ID))
-        where, kinds, keys = [], [], []
+        where, kinds, keys, least = [], [], [], []
         if not len(held):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for f, salt in enumerate(_SALTS):
             values = mixed(self.tokens ^ salt)
             for s, e in self._stretches(held):
@@ -86,7 +122,8 @@ class Shingles:
                 where.append(at)
                 kinds.append(np.full(len(at), f))
                 keys.append(mixed(values[at] + np.uint64(f + 1)))
-        return np.concatenate(keys), np.concatenate(where), np.concatenate(kinds)
+                least.append(values[at])
+        return np.concatenate(keys), np.concatenate(where), np.concatenate(kinds), np.concatenate(least)
 
     def _stretches(self, held: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
         """Token ranges of whole documents of about `most` tokens."""
@@ -119,7 +156,7 @@ def cartesian(values: list[int]) -> tuple[list[int], list[int]]:
 
 def _first(table: pa.Table):
     s = Shingles(table)
-    key, at, _ = s.least()
+    key, at, _, _ = s.least()
     order = np.lexsort((at, key))  # documents lie in the order of their ids, so the first position is the first holder's
     key, at = key[order], at[order]
     lead = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
@@ -137,12 +174,12 @@ def _smallest(inverse: np.ndarray, columns: dict[str, np.ndarray], n: int) -> di
 _WORK = "kind int, run int, bucket int, blob binary"
 
 
-def candidates(s: Shingles, told: dict[str, np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-    """(document, first start, last start, earlier doc_id, shift): passages of PASSAGE tokens that start between.
+def candidates(s: Shingles, told: dict[str, np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
+    """(document, first start, last start, earlier doc_id, shift, support): passages of PASSAGE tokens that start between.
 
     shift is the earlier document's position less the document's own.
     """
-    key, at, kind = s.least()
+    key, at, kind, least = s.least()
     if not len(key):
         return []
     distinct = np.unique(key)
@@ -152,50 +189,52 @@ def candidates(s: Shingles, told: dict[str, np.ndarray]) -> list[tuple[int, int,
     inside = at - s.start[d]
     hit = (first_doc != s.doc_id[d]) | (first_at <= inside - PASSAGE)
     out = []
-    order = np.lexsort((at, kind, d))
-    d_sorted = d[order]
     marked = np.unique(d[hit])
-    lo, hi = np.searchsorted(d_sorted, marked, "left"), np.searchsorted(d_sorted, marked, "right")
-    for doc, a, b in zip(marked.tolist(), lo.tolist(), hi.tolist()):
-        own = order[a:b]
-        n = int(s.size[doc])
-        starts = n - PASSAGE + 1
-        if starts < 1:
-            continue
-        cover = np.zeros((FUNCTIONS, starts + 1), np.int32)
-        spans = []
-        for f in range(FUNCTIONS):
-            of = own[kind[own] == f]
-            places = inside[of].tolist()
-            values = key_values(s, at[of], f)
-            before, behind = cartesian(values)
-            for i, k in enumerate(of.tolist()):
-                if not hit[k]:
-                    continue
-                c = places[i]
-                left = places[before[i]] + 1 if before[i] >= 0 else 0
-                right = places[behind[i]] - 1 if behind[i] < len(places) else n - 1
-                # Starts of passages of PASSAGE tokens that hold c and stay inside the window.
-                x, y = max(left, c - PASSAGE + 1), min(c, right - PASSAGE + 1)
-                if x <= y:
-                    cover[f, x] += 1
-                    cover[f, y + 1] -= 1
-                    spans.append((x, y, int(first_doc[k]), int(first_at[k]) - c))
-        near = (np.cumsum(cover, 1)[:, :starts] > 0).sum(0) >= ENOUGH
-        edges = np.flatnonzero(np.diff(np.r_[False, near, False].astype(np.int8)))
-        if not len(edges):
-            continue
-        begins, ends = edges[::2], edges[1::2] - 1
-        found: dict[tuple[int, int, int], int] = {}
-        for x, y, other, shift in spans:
-            for r in range(int(np.searchsorted(ends, x)), int(np.searchsorted(begins, y, side="right"))):
-                found.setdefault((r, other, shift // SLACK), shift)
-        out += [(doc, int(begins[r]), int(ends[r]), other, shift) for (r, other, _), shift in sorted(found.items())]
+    chosen = np.zeros(len(s.size), bool)
+    chosen[marked[s.size[marked] >= PASSAGE]] = True
+    order = np.lexsort((at, kind, d))
+    order = order[chosen[d[order]]]
+    cuts = np.flatnonzero(np.r_[True, np.diff(d[order] * FUNCTIONS + kind[order]) != 0][: len(order)]).tolist() + [len(order)]
+    place_of, value, hits = inside[order].tolist(), least[order].tolist(), hit[order].tolist()
+    other, other_at = first_doc[order].tolist(), first_at[order].tolist()
+    docs, kinds = d[order].tolist(), kind[order].tolist()
+    spans: list[tuple[int, int, int, int, int]] = []
+    for a, b in zip(cuts, cuts[1:]):
+        n, f = int(s.size[docs[a]]), kinds[a]
+        if any(hits[a:b]):
+            places = place_of[a:b]
+            before, behind = cartesian(value[a:b])
+            for i, c in enumerate(places):
+                if hits[a + i]:
+                    left = places[before[i]] + 1 if before[i] >= 0 else 0
+                    right = places[behind[i]] - 1 if behind[i] < len(places) else n - 1
+                    # Starts of passages of PASSAGE tokens that hold c and stay inside the window.
+                    x, y = max(left, c - PASSAGE + 1), min(c, right - PASSAGE + 1)
+                    if x <= y:
+                        spans.append((f, x, y, other[a + i], other_at[a + i] - c))
+        if b == len(order) or docs[b] != docs[a]:
+            out += _swept(docs[a], n - PASSAGE + 1, spans)
+            spans = []
     return out
 
 
-def key_values(s: Shingles, at: np.ndarray, f: int) -> list[int]:
-    return mixed(s.tokens[at] ^ _SALTS[f]).tolist()
+def _swept(doc: int, starts: int, spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs of starts that ENOUGH functions cover, each with its first holders, the best supported first."""
+    if len(spans) < ENOUGH:
+        return []
+    cover = np.zeros((FUNCTIONS, starts + 1), np.int32)
+    f, x, y = (np.array([v[k] for v in spans]) for k in range(3))
+    np.add.at(cover, (f, x), 1)
+    np.add.at(cover, (f, y + 1), -1)
+    near = (np.cumsum(cover, 1)[:, :starts] > 0).sum(0) >= ENOUGH
+    edges = np.flatnonzero(np.diff(np.r_[False, near, False].astype(np.int8)))
+    begins, ends = edges[::2].tolist(), (edges[1::2] - 1).tolist()
+    found: dict[tuple[int, int, int], list[int]] = {}
+    for _, x, y, other, shift in spans:
+        for r in range(bisect_left(ends, x), bisect_right(begins, y)):
+            found.setdefault((r, other, shift // SLACK), []).append(shift)
+    best = sorted(found.items(), key=lambda v: (v[0][0], -len(v[1]), v[0][1:]))
+    return [(doc, begins[r], ends[r], other, sorted(shifts)[len(shifts) // 2], len(shifts)) for (r, other, _), shifts in best]
 
 
 def run_of(doc_id: np.ndarray, n: int) -> np.ndarray:
@@ -216,7 +255,7 @@ def _proposed(n_runs: int):
                 "doc_id": s.doc_id, "n_words": s.n_words, "found": found,
                 "tokens": {d: s.tokens[s.start[d] : s.start[d] + s.size[d]] for d in own},
             }
-            rows.append((1, s.run, -1, pickle.dumps(state, protocol=5)))
+            rows.append((1, s.run, -1, zstandard.compress(pickle.dumps(state, protocol=5), 3)))
             if found:
                 other = np.array([c[3] for c in found], np.int64)
                 low = np.array([max(0, c[1] + c[4] - SLACK) for c in found], np.int64)
@@ -263,7 +302,15 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
     similar enough, the stretches are tried in which every passage of PASSAGE tokens shares enough.
     """
     own = mine[begin:end]
-    shared = np.isin(own, other)
+    lo, hi = max(0, -align), min(len(own), len(other) - align)
+    if hi - lo >= PASSAGE:
+        same = np.flatnonzero(own[lo:hi] == other[align + lo : align + hi])
+        if len(same) >= PASSAGE and same[-1] - same[0] + 1 == len(same):  # one stretch, word for word
+            return [(begin + lo + int(same[0]), begin + lo + int(same[-1]) + 1)]
+    held = np.unique(other)
+    shared = held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own
+    if shared.sum() < 2 * SIMILARITY / (1 + SIMILARITY) * PASSAGE - 1e-9:
+        return []
     places: dict[int, list[int]] = {}
     for k, t in enumerate(other.tolist()):
         places.setdefault(t, []).append(k)
@@ -298,7 +345,7 @@ _RESULT_DDL = "doc_id long, n_words long, spans array<struct<first_word:long,las
 def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
     if not states.num_rows:
         return _RESULT.empty_table()
-    s = pickle.loads(states.column("blob")[0].as_py())
+    s = pickle.loads(zstandard.decompress(states.column("blob")[0].as_py()))
     got: dict[int, np.ndarray] = {}
     for blob in replies.column("blob").to_pylist():
         r = unpack(blob)
@@ -307,16 +354,21 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
             got[k] = r["tokens"][a:b]
     spans: dict[int, set[tuple[int, int]]] = {}
     sources: dict[int, set[int]] = {}
-    for k, (d, first, last, other, shift) in enumerate(s["found"]):
+    covered: dict[tuple[int, int], set[int]] = {}
+    for k, (d, first, last, other, shift, support) in enumerate(s["found"]):
         theirs = got.get(k)
         if theirs is None or not len(theirs):
             continue
+        whole = covered.setdefault((d, first), set())
+        if support == 1 and len(whole) >= last - first + PASSAGE - SLACK:
+            continue  # one shared value, and better supported holders account for every word
         low = max(0, first + shift - SLACK)
         if other == int(s["doc_id"][d]):  # inside a document: only what lies before the passage
             theirs = theirs[: max(0, first - low)]
         for a, b in verified(s["tokens"][d], first, last + PASSAGE, theirs, first + shift - low):
             spans.setdefault(d, set()).add((a, b + SHINGLE - 1))
             sources.setdefault(d, set()).add(other)
+            whole.update(range(a, b))
     rows = []
     for d in range(len(s["doc_id"])):
         joined: list[list[int]] = []
