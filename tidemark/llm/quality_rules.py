@@ -97,7 +97,9 @@ def _measured(rows: DataFrame) -> DataFrame:
 
 
 def _bits() -> Column:
-    out = F.lit(0).cast("long")
+    # A filter on the bits must not be pushed below the projections that build the arrays: it would repeat their
+    # expressions inside lambdas, once for each word. A non-deterministic part, always 0, keeps it above.
+    out = F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long"))
     for r in RULES:
         out = out.bitwiseOR(F.when(F.expr(r.failed), F.lit(r.mask)).otherwise(F.lit(0)).cast("long"))
     return out
