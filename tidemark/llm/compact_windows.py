@@ -299,7 +299,8 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
     """Token ranges of mine[begin:end] that near-duplicate a passage of `other`: SIMILARITY of the sets or more.
 
     other[align] stands where mine[begin] does. The ends are cut to the first and last shared token; if the whole isn't
-    similar enough, the stretches are tried in which every passage of PASSAGE tokens shares enough.
+    similar enough, the stretches are tried in which every passage of PASSAGE tokens shares enough, and in those that are
+    not similar enough either their parts that share every token.
     """
     own = mine[begin:end]
     lo, hi = max(0, -align), min(len(own), len(other) - align)
@@ -335,7 +336,14 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
         return out
     share = np.convolve(shared, np.ones(PASSAGE), "valid") >= 2 * SIMILARITY / (1 + SIMILARITY) * PASSAGE - 1e-9
     edges = np.flatnonzero(np.diff(np.r_[False, share, False].astype(np.int8)))
-    return [r for i, j in zip(edges[::2].tolist(), (edges[1::2] + PASSAGE - 1).tolist()) for r in trimmed(i, j)]
+    out = []
+    for i, j in zip(edges[::2].tolist(), (edges[1::2] + PASSAGE - 1).tolist()):
+        found = trimmed(i, j)
+        if not found:  # passages without a break inside a stretch that differs too often as a whole
+            breaks = np.flatnonzero(~np.r_[False, shared[i:j], False])
+            found = [r for a, b in zip(breaks.tolist(), breaks[1:].tolist()) if b - a - 1 >= PASSAGE for r in trimmed(i + a, i + b - 1)]
+        out += found
+    return out
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64())]))), ("repeats_of", pa.list_(pa.int64()))])
