@@ -243,6 +243,24 @@ def run_of(doc_id: np.ndarray, n: int) -> np.ndarray:
     return (h.view(np.int64) % n).astype(np.int64)
 
 
+def merged_ranges(found: list[tuple[int, int, int, int, int, int]]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(doc_id, low, high) of earlier documents' stretches, overlapping ones as one, and each candidate's (row, from, to).
+
+    A stretch travels once to a run, however many candidates look at it.
+    """
+    wanted = [(c[3], max(0, c[1] + c[4] - SLACK), c[2] + PASSAGE + c[4] + SLACK) for c in found]
+    rows: list[list[int]] = []
+    at: list[tuple[int, int, int]] = [(0, 0, 0)] * len(found)
+    for k in sorted(range(len(found)), key=wanted.__getitem__):
+        doc, low, high = wanted[k]
+        if rows and rows[-1][0] == doc and low <= rows[-1][2]:
+            rows[-1][2] = max(rows[-1][2], high)
+        else:
+            rows.append([doc, low, high])
+        at[k] = (len(rows) - 1, low - rows[-1][1], max(low, high) - rows[-1][1])
+    return np.array(rows, np.int64).reshape(-1, 3), at
+
+
 def _proposed(n_runs: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int, bytes]] = []
@@ -251,19 +269,17 @@ def _proposed(n_runs: int):
             told = answers(replies)
             found = candidates(s, told) if told else []
             own = sorted({c[0] for c in found})
+            asked, at = merged_ranges(found)
             state = {
-                "doc_id": s.doc_id, "n_words": s.n_words, "found": found,
+                "doc_id": s.doc_id, "n_words": s.n_words, "found": found, "at": at,
                 "tokens": {d: s.tokens[s.start[d] : s.start[d] + s.size[d]] for d in own},
             }
             rows.append((1, s.run, -1, zstandard.compress(pickle.dumps(state, protocol=5), 3)))
-            if found:
-                other = np.array([c[3] for c in found], np.int64)
-                low = np.array([max(0, c[1] + c[4] - SLACK) for c in found], np.int64)
-                high = np.array([c[2] + PASSAGE + c[4] + SLACK for c in found], np.int64)
-                to = run_of(other, n_runs)
+            if len(asked):
+                to = run_of(asked[:, 0], n_runs)
                 for b in np.unique(to).tolist():
                     k = np.flatnonzero(to == b)
-                    rows.append((0, b, s.run, pack({"k": k, "doc": other[k], "low": low[k], "high": high[k]})))
+                    rows.append((0, b, s.run, pack({"k": k, "doc": asked[k, 0], "low": asked[k, 1], "high": asked[k, 2]})))
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("kind", pa.int32()), ("run", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())))})
 
     return run
@@ -364,8 +380,9 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
     sources: dict[int, set[int]] = {}
     covered: dict[tuple[int, int], set[int]] = {}
     for k, (d, first, last, other, shift, support) in enumerate(s["found"]):
-        theirs = got.get(k)
-        if theirs is None or not len(theirs):
+        row, begin, end = s["at"][k]
+        theirs = got[row][begin:end] if row in got else ()
+        if not len(theirs):
             continue
         whole = covered.setdefault((d, first), set())
         if support == 1 and len(whole) >= last - first + PASSAGE - SLACK:
