@@ -264,6 +264,14 @@ def test_compact_windows_bear_edits(spark):
     assert got[2]["n_repeated"] >= 80 and got[2]["class_id"] == 1 and got[3]["n_repeated"] == 0
 
 
+def test_nothing_to_compare_with():
+    import numpy as np
+
+    tokens = np.arange(100, dtype=np.uint64)
+    assert compact_windows.verified(tokens, 0, 60, tokens[:0], 0) == []
+    assert compact_windows.verified(tokens, 0, 60, tokens[:60], 0) == [(0, 60)]
+
+
 def test_cartesian_windows():
     r = random.Random(4)
     v = [r.randrange(20) for _ in range(60)]

@@ -318,6 +318,8 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
     similar enough, the stretches are tried in which every passage of PASSAGE tokens shares enough, and in those that are
     not similar enough either their parts that share every token.
     """
+    if not len(other):
+        return []  # a passage at the start of its own document has nothing before it
     own = mine[begin:end]
     lo, hi = max(0, -align), min(len(own), len(other) - align)
     if hi - lo >= PASSAGE:
