@@ -264,6 +264,48 @@ def test_compact_windows_bear_edits(spark):
     assert got[2]["n_repeated"] >= 80 and got[2]["class_id"] == 1 and got[3]["n_repeated"] == 0
 
 
+def shingle_sets(text):
+    w = words_of(text)
+    each = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    return [set(each[k : k + 46]) for k in range(len(each) - 45)]
+
+
+def alike(a, b):
+    return any(len(x & y) >= 0.8 * len(x | y) for x in shingle_sets(a) for y in shingle_sets(b))
+
+
+def classes(links, ids):
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_compact_windows_ask_every_holder(spark):
+    r, text = random.Random(21), {}
+    for k in range(60):  # the third is like the second and unlike the first
+        base = [f"{r.choice(WORDS)}{k}x{j}" for j in range(60)]
+        near, far = list(base), list(base)
+        near[r.randrange(10, 25)] = "once"
+        far[:] = near
+        far[r.randrange(35, 50)] = "twice"
+        text |= {1000 + 10 * k: " ".join(base), 1001 + 10 * k: " ".join(near), 1002 + 10 * k: " ".join(far)}
+    bank = [prose(10, 900 + k).replace(".", "") for k in range(40)]
+    for k in range(200):
+        text[k] = " ".join(r.sample(bank, 9))
+    for k in range(40):  # six lines of an earlier document among lines in another order
+        at = r.randrange(4)
+        text[5000 + k] = prose(20, 3000 + k) + " " + " ".join(text[r.randrange(200)].split()[at * 10 : at * 10 + 60]) + " " + prose(20, 4000 + k)
+    got = {x["doc_id"]: x for x in compact_windows.near_duplicate_passages(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    for k in range(60):
+        a, b, c = (1000 + 10 * k + j for j in range(3))
+        assert (a in got[b]["repeats_of"]) == alike(text[a], text[b]) and got[c]["class_id"] == classes([x for x in ((a, b), (b, c), (a, c)) if alike(text[x[0]], text[x[1]])], (a, b, c))[c]
+    for k in range(40):
+        marked = {j for s in got[5000 + k]["spans"] for j in range(s["first_word"], s["last_word"] + 1)}
+        assert set(range(20, 80)) <= marked, k
+
+
 def test_nothing_to_compare_with():
     import numpy as np
 

@@ -1,16 +1,15 @@
 """Near-duplicate passages by compact windows.
 
-Tokens are hashes of shingles of SHINGLE words (ASCII letters lower-cased). For each of FUNCTIONS min-hash functions a
-Cartesian tree over a document's values groups its passages: the passages around position c whose least value stands at c
-are those inside (left, right), the places of smaller values around c. Such a window is kept if it holds a passage of
-PASSAGE tokens; only positions that are least in some passage of that length can be, and the tree over those positions
-alone has the same windows.
-
-Windows of one function with equal values meet at their first holder (tidemark.llm.runs, smallest doc_id, then start), so
-a passage that a third of all documents share costs one entry a run. A window and its first holder's give the places
-where an aligned passage of PASSAGE tokens has its least value in both: an interval of starts. Starts that ENOUGH
-functions or more cover (an interval sweep) are candidate passages, whoever the first holders are; each is verified
-against each of its first holders by the exact Jaccard similarity of the shingle sets, SIMILARITY or more.
+Tokens are hashes of shingles of SHINGLE words (ASCII letters lower-cased). Two passages of PASSAGE tokens whose sets are
+SIMILARITY alike share all but a few of their tokens (41 of 46 different ones), so in any one order of all tokens they
+share one of the few least of each. The order is by how often a token occurs in the corpus (tidemark.llm.runs asks for
+that), rare ones first: a passage with too many tokens of its own needs no comparison, and common lines build few pairs.
+
+A token that is among the least of some passages around it stands for their interval of starts (a compact window).
+Windows of one token meet in a bucket. Those that are equal but for tokens that occur nowhere else are alike to each other
+and to the same others, so they are folded to their first holder (smallest doc_id, then start) and ask it alone; every
+other window asks all earlier first holders of its token. Each candidate is verified by the exact Jaccard similarity of
+the shingle sets, SIMILARITY or more.
 
 The words of a verified passage repeat an earlier passage: earlier by doc_id, or in the same document without overlap.
 
@@ -21,9 +20,9 @@ are compared with the first of them; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,18 +34,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, stored
 from tidemark.llm.components import components
-from tidemark.llm.runs import answers, ask, in_runs, minimizers, mixed, pack, unpack, with_answers
+from tidemark.llm.runs import _sliding, bucket_bounds, in_runs, mixed, pack, unpack, with_answers
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Tokens of the shortest passage: 50 words.
 PASSAGE = 46
-FUNCTIONS, ENOUGH = 6, 3
+#: Tokens that a passage of PASSAGE different ones may have and a similar passage of that length not.
+OWN = PASSAGE - math.ceil(2 * SIMILARITY / (1 + SIMILARITY) * PASSAGE - 1e-9)
 #: Tokens of the earlier document, on each side, within which an aligned passage may have shifted.
 SLACK = 8
 NO_ID = -(2**63)
 #: Bytes of text in a run.
 RUN_BYTES = 4_000_000
-_SALTS = [np.uint64(xxhash.xxh64_intdigest(b"function", k)) for k in range(FUNCTIONS)]
 _STEPS = [np.uint64(xxhash.xxh64_intdigest(b"place", k) | 1) for k in range(SHINGLE)]
 
 
@@ -108,38 +107,6 @@ class Shingles:
         """Documents of token positions; documents without tokens hold none."""
         return np.searchsorted(self.start, at, side="right") - 1
 
-    def least(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(key, position, function, value) of every value that is least in a passage of PASSAGE tokens of one document."""
-        held = np.flatnonzero((self.size > 0) & (self.doc_id != NO_ID))
-        where, kinds, keys, least = [], [], [], []
-        if not len(held):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for f, salt in enumerate(_SALTS):
-            values = mixed(self.tokens ^ salt)
-            for s, e in self._stretches(held):
-                # Passages over a document's edge only add positions; the windows are cut at the edges below.
-                at = minimizers(values[s:e], PASSAGE) + s
-                where.append(at)
-                kinds.append(np.full(len(at), f))
-                keys.append(mixed(values[at] + np.uint64(f + 1)))
-                least.append(values[at])
-        return np.concatenate(keys), np.concatenate(where), np.concatenate(kinds), np.concatenate(least)
-
-    def _stretches(self, held: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
-        """Token ranges of whole documents of about `most` tokens."""
-        s = None
-        for d in held.tolist():
-            b, e = int(self.start[d]), int(self.start[d] + self.size[d])
-            if s is None:
-                s, to = b, e
-            elif e - s > most or b != to:
-                yield s, to
-                s, to = b, e
-            else:
-                to = e
-        if s is not None:
-            yield s, to
-
 
 def cartesian(values: list[int]) -> tuple[list[int], list[int]]:
     """For each value the indexes of the nearest smaller ones before (equal ones count) and behind it; -1 and n if none."""
@@ -154,87 +121,194 @@ def cartesian(values: list[int]) -> tuple[list[int], list[int]]:
     return before, behind
 
 
-def _first(table: pa.Table):
-    s = Shingles(table)
-    key, at, _, _ = s.least()
-    order = np.lexsort((at, key))  # documents lie in the order of their ids, so the first position is the first holder's
-    key, at = key[order], at[order]
-    lead = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    low = at[lead]
-    d = s.doc_of(low)
-    return key[lead], {"doc": s.doc_id[d], "at": (low - s.start[d]).astype(np.int32)}
+_ROWS = "bucket int, run int, blob binary"
 
 
-def _smallest(inverse: np.ndarray, columns: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
-    order = np.lexsort((columns["at"], columns["doc"], inverse))
-    lead = order[np.flatnonzero(np.r_[True, np.diff(inverse[order]) != 0])]
-    return {k: v[lead] for k, v in columns.items()}
+def _rows(rows: list[tuple[int, int, bytes]], *names: str) -> pa.Table:
+    return pa.table({n: pa.array([r[k] for r in rows], pa.binary() if n == "blob" else pa.int32()) for k, n in enumerate(names)})
 
 
-_WORK = "kind int, run int, bucket int, blob binary"
+def _short(s: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 40-bit tokens of a run's documents with ids, how often each occurs, and the place of every token in them."""
+    held = np.repeat(s.doc_id != NO_ID, s.size)
+    keys, inverse = np.unique(s.tokens >> np.uint64(24), return_inverse=True)
+    return keys, np.bincount(inverse[held], minlength=len(keys)), inverse
 
 
-def candidates(s: Shingles, told: dict[str, np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
-    """(document, first start, last start, earlier doc_id, shift, support): passages of PASSAGE tokens that start between.
+def _distinct(n_buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        s = Shingles(table)
+        keys, n, _ = _short(s)
+        bounds = bucket_bounds(keys << np.uint64(24), n_buckets).tolist()
+        return _rows([(b, s.run, pack({"step": np.diff(keys[i:j], prepend=np.uint64(0)), "n": n[i:j]})) for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i], "bucket", "run", "blob")
 
-    shift is the earlier document's position less the document's own.
+    return run
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """How often each token of a run occurs in all: the bits of that number. Tokens that agree in 40 bits count as one."""
+    asked = [unpack(b) for b in table.column("blob").to_pylist()]
+    keys = [np.cumsum(a["step"], dtype=np.uint64) for a in asked]
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([a["n"] for a in asked]), len(distinct))
+    bits, ends = np.frexp(total)[1].astype(np.uint8)[inverse], np.cumsum([len(k) for k in keys])
+    told = [pack({"bits": bits[e - len(k) : e]}) for k, e in zip(keys, ends.tolist())]
+    return _rows(list(zip(table.column("run").to_pylist(), table.column("bucket").to_pylist(), told)), "run", "bucket", "blob")
+
+
+def windows(s: Shingles, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first start, last start, content) of tokens that are among the least of passages that start between.
+
+    bits: of the number of times that each token occurs, 1 for once. Windows of equal content are equal but for tokens that
+    occur once, and so few of those that all their passages are alike; other windows have a content of their own.
     """
-    key, at, kind, least = s.least()
-    if not len(key):
-        return []
-    distinct = np.unique(key)
-    place = np.searchsorted(distinct, key)
-    first_doc, first_at = told["doc"][place], told["at"][place].astype(np.int64)
-    d = s.doc_of(at)
-    inside = at - s.start[d]
-    hit = (first_doc != s.doc_id[d]) | (first_at <= inside - PASSAGE)
-    out = []
-    marked = np.unique(d[hit])
-    chosen = np.zeros(len(s.size), bool)
-    chosen[marked[s.size[marked] >= PASSAGE]] = True
-    order = np.lexsort((at, kind, d))
-    order = order[chosen[d[order]]]
-    cuts = np.flatnonzero(np.r_[True, np.diff(d[order] * FUNCTIONS + kind[order]) != 0][: len(order)]).tolist() + [len(order)]
-    place_of, value, hits = inside[order].tolist(), least[order].tolist(), hit[order].tolist()
-    other, other_at = first_doc[order].tolist(), first_at[order].tolist()
-    docs, kinds = d[order].tolist(), kind[order].tolist()
-    spans: list[tuple[int, int, int, int, int]] = []
-    for a, b in zip(cuts, cuts[1:]):
-        n, f = int(s.size[docs[a]]), kinds[a]
-        if any(hits[a:b]):
-            places = place_of[a:b]
-            before, behind = cartesian(value[a:b])
-            for i, c in enumerate(places):
-                if hits[a + i]:
-                    left = places[before[i]] + 1 if before[i] >= 0 else 0
-                    right = places[behind[i]] - 1 if behind[i] < len(places) else n - 1
-                    # Starts of passages of PASSAGE tokens that hold c and stay inside the window.
-                    x, y = max(left, c - PASSAGE + 1), min(c, right - PASSAGE + 1)
-                    if x <= y:
-                        spans.append((f, x, y, other[a + i], other_at[a + i] - c))
-        if b == len(order) or docs[b] != docs[a]:
-            out += _swept(docs[a], n - PASSAGE + 1, spans)
-            spans = []
-    return out
+    n, m = len(s.tokens), len(s.tokens) - PASSAGE + 1
+    none = np.zeros(0, np.int64)
+    held = np.flatnonzero((s.doc_id != NO_ID) & (s.size >= PASSAGE))
+    if not len(held):
+        return none, none, none, np.zeros(0, np.uint64)
+    once = bits < 2
+    rank = (bits.astype(np.uint64) << np.uint64(56)) | (s.tokens >> np.uint64(8))
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, s.start[held], 1)
+    np.add.at(step, s.start[held] + s.size[held] - PASSAGE + 1, -1)
+    ok = np.cumsum(step)[:m] > 0
+
+    def within(flags: np.ndarray) -> np.ndarray:
+        c = np.concatenate((np.zeros(1, np.int64), np.cumsum(flags)))
+        return c[PASSAGE:] - c[:-PASSAGE]
+
+    order = np.argsort(s.tokens, kind="stable")
+    near = (s.tokens[order[1:]] == s.tokens[order[:-1]]) & (np.diff(order) < PASSAGE)
+    again = np.zeros(n, bool)
+    again[order[1:][near]] = True
+    own, plain = within(once), within(again) == 0
+    # The largest rank by which a passage is found; 0 if too many of its tokens occur nowhere else.
+    most, loose = np.zeros(m, np.uint64), np.zeros(m, bool)
+    view = np.lib.stride_tricks.sliding_window_view(rank, PASSAGE)
+    at = np.flatnonzero(ok & plain & (own <= OWN))
+    for k in range(0, len(at), 1 << 14):
+        p = at[k : k + (1 << 14)]
+        most[p] = np.partition(view[p], OWN, axis=1)[:, OWN]
+    at = np.flatnonzero(ok & ~plain & (own < PASSAGE))
+    for k in range(0, len(at), 1 << 14):  # tokens that come again in a passage count once
+        p = at[k : k + (1 << 14)]
+        x = np.sort(view[p], axis=1)
+        nth = np.cumsum(np.concatenate((np.zeros((len(p), 1), bool), x[:, 1:] != x[:, :-1]), 1), axis=1)
+        size = nth[:, -1] + 1
+        spare = np.where(size == PASSAGE, OWN, size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64))
+        value = x[np.arange(len(p)), np.argmax(nth >= spare[:, None], axis=1)]
+        most[p] = np.where(value >> np.uint64(56) >= 2, value, 0)
+        loose[p] = size - own[p] < 2 * SIMILARITY / (1 + SIMILARITY) * size - 1e-9
+    edge = np.zeros(PASSAGE - 1, np.uint64)
+    most = np.concatenate((edge, most, edge))
+    at = np.flatnonzero((_sliding(np.maximum, most, PASSAGE) >= rank) & ~once)
+    first, last = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(most, PASSAGE)
+    for k in range(0, len(at), 1 << 16):
+        c = at[k : k + (1 << 16)]
+        found = view[c] >= rank[c][:, None]
+        first[k : k + (1 << 16)] = c - PASSAGE + 1 + np.argmax(found, 1)
+        last[k : k + (1 << 16)] = c - np.argmax(found[:, ::-1], 1)
+    masked = np.where(once, np.uint64(0), s.tokens)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(masked[:-1] * _STEPS[0] + masked[1:]), dtype=np.uint64)))
+    content = mixed(sums[last + PASSAGE - 1] - sums[first] + (at - first).astype(np.uint64) * _STEPS[1] + (last - at).astype(np.uint64) * _STEPS[2])
+    n_loose = np.concatenate((np.zeros(1, np.int64), np.cumsum(loose)))
+    alone = mixed(content + at.astype(np.uint64) * _STEPS[3] + mixed(s.doc_id[s.doc_of(at)].view(np.uint64)))
+    return at, first, last, np.where(n_loose[last + 1] > n_loose[first], alone, content)
+
+
+def _windows(n_buckets: int):
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        rows: list[tuple[int, int, bytes]] = []
+        if table.num_rows and replies.num_rows:
+            s = Shingles(table)
+            bits = np.concatenate([unpack(b)["bits"] for _, b in sorted(zip(replies.column("bucket").to_pylist(), replies.column("blob").to_pylist()))])
+            at, first, last, content = windows(s, bits[_short(s)[2]])
+            key, d = mixed(s.tokens[at]), s.doc_of(at)
+            order = np.lexsort((at, key))
+            key, at, first, last, content, d = (v[order] for v in (key, at, first, last, content, d))
+            lead = np.r_[True, s.doc_id[1:] != s.doc_id[:-1]]
+            columns = {
+                "doc": s.doc_id[d], "d": d.astype(np.int32), "at": (at - s.start[d]).astype(np.int32), "before": (at - first).astype(np.uint8),
+                "behind": (at - last).astype(np.uint8), "content": content >> np.uint64(16), "lead": lead[d],
+            }
+            bounds = bucket_bounds(key, n_buckets).tolist()
+            for b, (i, j) in enumerate(zip(bounds, bounds[1:])):
+                if j > i:
+                    rows.append((b, s.run, pack({"step": np.diff(key[i:j], prepend=np.uint64(0))} | {k: v[i:j] for k, v in columns.items()})))
+        return _rows(rows, "bucket", "run", "blob")
+
+    return run
+
+
+def met(key: np.ndarray, content: np.ndarray, doc: np.ndarray, at: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(asking window, earlier window) of one key: its content's first holder, or else every content's earlier first holder.
+
+    Sorted by (key, doc, at). Only rows that are the first of their id (lead) are asked.
+    """
+    n = len(key)
+    order = np.lexsort((np.arange(n), ~lead, content, key))
+    fresh = np.r_[True, (np.diff(content[order]) != 0) | (np.diff(key[order]) != 0)][:n]
+    first = np.empty(n, np.int64)
+    first[order] = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (doc[b] < doc[a]) | ((doc[b] == doc[a]) & (at[b] <= at[a] - PASSAGE))
+
+    every = np.arange(n)
+    known = lead[first] & apart(every, first)
+    # All first holders of a key before a place, for windows whose own first holder is none.
+    is_first = lead & (first == every)
+    so_far = np.cumsum(is_first) - is_first
+    begin = so_far[np.searchsorted(key, key, side="left")]
+    asking = np.flatnonzero(~known)
+    size = so_far[asking] - begin[asking]
+    a = np.repeat(asking, size)
+    b = np.flatnonzero(is_first)[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[asking], size)]
+    keep = apart(a, b)
+    return np.concatenate((every[known], a[keep])), np.concatenate((first[known], b[keep]))
+
+
+def _met(table: pa.Table) -> pa.Table:
+    got = [unpack(b) for b in table.column("blob").to_pylist()]
+    key = np.concatenate([np.cumsum(g["step"], dtype=np.uint64) for g in got])
+    c = {k: np.concatenate([g[k] for g in got]) for k in got[0]} | {"run": np.repeat(np.array(table.column("run").to_pylist()), [len(g["d"]) for g in got])}
+    order = np.lexsort((~c["lead"].astype(bool), c["at"], c["doc"], key))
+    key, c = key[order], {k: v[order] for k, v in c.items()}
+    a, b = met(key, c["content"], c["doc"], c["at"], c["lead"].astype(bool))
+    order = np.lexsort((c["at"][a], c["doc"][b], c["d"][a], c["run"][a]))
+    a, b = a[order], b[order]
+    run, bucket, rows = c["run"][a], table.column("bucket")[0].as_py(), []
+    for r in np.unique(run).tolist():
+        i, j = np.searchsorted(run, [r, r + 1])
+        rows.append((r, bucket, pack({k: c[k][a[i:j]] for k in ("d", "at", "before", "behind")} | {"other": c["doc"][b[i:j]], "other_at": c["at"][b[i:j]]})))
+    return _rows(rows, "run", "bucket", "blob")
 
 
-def _swept(doc: int, starts: int, spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs of starts that ENOUGH functions cover, each with its first holders, the best supported first."""
-    if len(spans) < ENOUGH:
+_WORK = "kind int, run int, bucket int, blob binary"
+
+#: Document, first start, last start, earlier doc_id, shift, windows that agree, and from where to where the earlier passages lie.
+Candidate = tuple[int, int, int, int, int, int, int, int]
+
+
+def candidates(told: dict[str, np.ndarray]) -> list[Candidate]:
+    """Passages of PASSAGE tokens that start between and an earlier document that may have the like, windows that touch as one.
+
+    shift is the earlier document's position less the document's own.
+    """
+    at, d, other, other_at = told["at"].astype(np.int64), told["d"], told["other"], told["other_at"].astype(np.int64)
+    first, last, shift = at - told["before"], at - told["behind"], other_at - at
+    order = np.lexsort((first, shift // SLACK, other, d))
+    at, d, other, other_at, first, last, shift = (v[order] for v in (at, d, other, other_at, first, last, shift))
+    lead = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(other) != 0) | (np.diff(shift // SLACK) != 0) | (first[1:] > last[:-1] + 1)][: len(d)])
+    if not len(lead):
         return []
-    cover = np.zeros((FUNCTIONS, starts + 1), np.int32)
-    f, x, y = (np.array([v[k] for v in spans]) for k in range(3))
-    np.add.at(cover, (f, x), 1)
-    np.add.at(cover, (f, y + 1), -1)
-    near = (np.cumsum(cover, 1)[:, :starts] > 0).sum(0) >= ENOUGH
-    edges = np.flatnonzero(np.diff(np.r_[False, near, False].astype(np.int8)))
-    begins, ends = edges[::2].tolist(), (edges[1::2] - 1).tolist()
-    found: dict[tuple[int, int, int], list[int]] = {}
-    for _, x, y, other, shift in spans:
-        for r in range(bisect_left(ends, x), bisect_right(begins, y)):
-            found.setdefault((r, other, shift // SLACK), []).append(shift)
-    best = sorted(found.items(), key=lambda v: (v[0][0], -len(v[1]), v[0][1:]))
-    return [(doc, begins[r], ends[r], other, sorted(shifts)[len(shifts) // 2], len(shifts)) for (r, other, _), shifts in best]
+    n = np.diff(np.r_[lead, len(d)])
+    high = np.maximum.reduceat(last, lead)
+    low_at, high_at = np.maximum(0, np.minimum.reduceat(other_at, lead) - PASSAGE + 1), np.maximum.reduceat(other_at, lead) + PASSAGE
+    found = zip(d[lead].tolist(), first[lead].tolist(), high.tolist(), other[lead].tolist(), shift[lead + n // 2].tolist(), n.tolist(), low_at.tolist(), high_at.tolist())
+    return sorted(found, key=lambda c: (c[0], c[1], -c[5], c[3:]))
 
 
 def run_of(doc_id: np.ndarray, n: int) -> np.ndarray:
@@ -243,12 +317,12 @@ def run_of(doc_id: np.ndarray, n: int) -> np.ndarray:
     return (h.view(np.int64) % n).astype(np.int64)
 
 
-def merged_ranges(found: list[tuple[int, int, int, int, int, int]]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+def merged_ranges(found: list[Candidate]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """(doc_id, low, high) of earlier documents' stretches, overlapping ones as one, and each candidate's (row, from, to).
 
     A stretch travels once to a run, however many candidates look at it.
     """
-    wanted = [(c[3], max(0, c[1] + c[4] - SLACK), c[2] + PASSAGE + c[4] + SLACK) for c in found]
+    wanted = [(c[3], c[6], c[7]) for c in found]
     rows: list[list[int]] = []
     at: list[tuple[int, int, int]] = [(0, 0, 0)] * len(found)
     for k in sorted(range(len(found)), key=wanted.__getitem__):
@@ -266,8 +340,8 @@ def _proposed(n_runs: int):
         rows: list[tuple[int, int, int, bytes]] = []
         if table.num_rows:
             s = Shingles(table)
-            told = answers(replies)
-            found = candidates(s, told) if told else []
+            told = [unpack(b) for b in replies.column("blob").to_pylist()]
+            found = candidates({k: np.concatenate([t[k] for t in told]) for k in told[0]}) if told else []
             own = sorted({c[0] for c in found})
             asked, at = merged_ranges(found)
             state = {
@@ -381,7 +455,7 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
     spans: dict[int, set[tuple[int, int]]] = {}
     sources: dict[int, set[int]] = {}
     covered: dict[tuple[int, int], set[int]] = {}
-    for k, (d, first, last, other, shift, support) in enumerate(s["found"]):
+    for k, (d, first, last, other, shift, support, low, _) in enumerate(s["found"]):
         row, begin, end = s["at"][k]
         theirs = got[row][begin:end] if row in got else ()
         if not len(theirs):
@@ -389,7 +463,6 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
         whole = covered.setdefault((d, first), set())
         if support == 1 and len(whole) >= last - first + PASSAGE - SLACK:
             continue  # one shared value, and better supported holders account for every word
-        low = max(0, first + shift - SLACK)
         if other == int(s["doc_id"][d]):  # inside a document: only what lies before the passage
             theirs = theirs[: max(0, first - low)]
         for a, b in verified(s["tokens"][d], first, last + PASSAGE, theirs, first + shift - low):
@@ -412,7 +485,9 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
 def passages(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """doc_id, n_words, spans (words of passages that near-duplicate earlier ones, from 0, last included), repeats_of."""
     runs, n = in_runs(docs, run_bytes)
-    replies = ask(runs, pieces(n, 2), _first, _smallest)
+    buckets = pieces(n, 2)
+    counted = runs.groupBy("run").applyInArrow(_distinct(buckets), _ROWS).groupBy("bucket").applyInArrow(_counted, "run int, bucket int, blob binary")
+    replies = with_answers(runs, counted, _windows(buckets), _ROWS).groupBy("bucket").applyInArrow(_met, "run int, bucket int, blob binary")
     work = stored(with_answers(runs, replies, _proposed(n), _WORK), "kind")
     requests = work.filter("kind = 0").select("run", "bucket", "blob")
     served = with_answers(runs, requests, _served, "run int, bucket int, blob binary")
