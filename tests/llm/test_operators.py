@@ -306,6 +306,18 @@ def test_compact_windows_ask_every_holder(spark):
         assert set(range(20, 80)) <= marked, k
 
 
+def tokens_of(*parts):
+    import pyarrow as pa
+
+    return compact_windows.Shingles(pa.table({"run": pa.array([0], pa.int32()), "doc_id": pa.array([1]), "text": [" ".join(x for p in parts for x in p)]})).tokens
+
+
+def test_both_sides_of_an_inserted_word_are_marked():
+    w = [f"w{k}" for k in range(120)]
+    mine, other = tokens_of(w[:60], ["more"], w[60:]), tokens_of(w)
+    assert compact_windows.verified(mine, 0, len(mine), other, 0) == compact_windows.verified(mine, 0, len(mine), other, -1) == [(0, 117)]
+
+
 def test_nothing_to_compare_with():
     import numpy as np
 

@@ -395,13 +395,14 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
     if not len(other):
         return []  # a passage at the start of its own document has nothing before it
     own = mine[begin:end]
+    held = np.unique(other)
+    shared = held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own
     lo, hi = max(0, -align), min(len(own), len(other) - align)
     if hi - lo >= PASSAGE:
         same = np.flatnonzero(own[lo:hi] == other[align + lo : align + hi])
-        if len(same) >= PASSAGE and same[-1] - same[0] + 1 == len(same):  # one stretch, word for word
+        # One stretch, word for word, and nothing shared beside it, as there is behind an inserted word.
+        if len(same) >= PASSAGE and same[-1] - same[0] + 1 == len(same) == shared.sum():
             return [(begin + lo + int(same[0]), begin + lo + int(same[-1]) + 1)]
-    held = np.unique(other)
-    shared = held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own
     if shared.sum() < 2 * SIMILARITY / (1 + SIMILARITY) * PASSAGE - 1e-9:
         return []
     places: dict[int, list[int]] = {}
