@@ -326,6 +326,26 @@ def test_nothing_to_compare_with():
     assert compact_windows.verified(tokens, 0, 60, tokens[:60], 0) == [(0, 60)]
 
 
+def test_candidates_of_little_support_are_verified():
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    from tidemark.llm.runs import pack
+
+    mine = np.arange(60, dtype=np.uint64)
+    a, b = mine.copy(), mine.copy()
+    a[10:15], b[45:50] = range(100, 105), range(200, 205)
+    found = [(0, 0, 14, other, 0, n, 0, 60) for other, n in ((1, 5), (2, 1), (3, 1))]
+    state = {"doc_id": np.array([9]), "n_words": np.array([64]), "found": found, "at": [(k, 0, 60) for k in range(3)], "tokens": {0: mine}}
+    states = pa.table({"blob": [zstandard.compress(pickle.dumps(state))]})
+    replies = pa.table({"blob": [pack({"k": np.arange(3), "size": np.full(3, 60), "tokens": np.concatenate((a, b, a))})]})
+    got = compact_windows._judged(states, replies).to_pylist()[0]
+    assert got["spans"] == [{"first_word": 0, "last_word": 63}] and got["repeats_of"] == [1, 2]  # the third repeats the first
+
+
 def test_cartesian_windows():
     r = random.Random(4)
     v = [r.randrange(20) for _ in range(60)]

@@ -439,6 +439,19 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
     return out
 
 
+def repeats(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether a passage of PASSAGE tokens of `a` near-duplicates one of `b`: the one that shares most, where it stands."""
+    if min(len(a), len(b)) < PASSAGE:
+        return False
+    shared = np.isin(a, b)
+    p = int(np.argmax(np.convolve(shared, np.ones(PASSAGE), "valid")))
+    if shared[p : p + PASSAGE].sum() < SIMILARITY * PASSAGE:
+        return False
+    k = p + int(np.argmax(shared[p : p + PASSAGE]))
+    q = min(max(0, int(np.argmax(b == a[k])) - (k - p)), len(b) - PASSAGE)
+    return similarity(a[p : p + PASSAGE], b[q : q + PASSAGE]) >= SIMILARITY
+
+
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64())]))), ("repeats_of", pa.list_(pa.int64()))])
 _RESULT_DDL = "doc_id long, n_words long, spans array<struct<first_word:long,last_word:long>>, repeats_of array<long>"
 
@@ -455,21 +468,22 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
             got[k] = r["tokens"][a:b]
     spans: dict[int, set[tuple[int, int]]] = {}
     sources: dict[int, set[int]] = {}
-    covered: dict[tuple[int, int], set[int]] = {}
-    for k, (d, first, last, other, shift, support, low, _) in enumerate(s["found"]):
+    linked: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    for k, (d, first, last, other, shift, _, low, _) in enumerate(s["found"]):
         row, begin, end = s["at"][k]
         theirs = got[row][begin:end] if row in got else ()
         if not len(theirs):
             continue
-        whole = covered.setdefault((d, first), set())
-        if support == 1 and len(whole) >= last - first + PASSAGE - SLACK:
-            continue  # one shared value, and better supported holders account for every word
         if other == int(s["doc_id"][d]):  # inside a document: only what lies before the passage
             theirs = theirs[: max(0, first - low)]
-        for a, b in verified(s["tokens"][d], first, last + PASSAGE, theirs, first + shift - low):
-            spans.setdefault(d, set()).add((a, b + SHINGLE - 1))
-            sources.setdefault(d, set()).add(other)
-            whole.update(range(a, b))
+        found = verified(s["tokens"][d], first, last + PASSAGE, theirs, first + shift - low)
+        spans.setdefault(d, set()).update((a, b + SHINGLE - 1) for a, b in found)
+        if found and other not in sources.setdefault(d, set()):
+            # A document that repeats a linked one here is linked to it by itself.
+            heads = linked.setdefault(d, [])
+            if not any(x <= last and first <= y and repeats(theirs, there) for x, y, there in heads):
+                sources[d].add(other)
+                heads.append((first, last, theirs))
     rows = []
     for d in range(len(s["doc_id"])):
         joined: list[list[int]] = []
@@ -496,7 +510,10 @@ def passages(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
 
 
 def near_duplicate_passages(docs: DataFrame) -> DataFrame:
-    """passages(), with n_repeated (words in spans), n_links and class_id: the smallest doc_id that links lead to."""
+    """passages(), with n_repeated (words in spans), n_links and class_id: the smallest doc_id that links lead to.
+
+    A document that repeats a passage is linked to its earlier holders, but for those that repeat a linked one there.
+    """
     found = stored(passages(docs))
     links = found.select(F.col("doc_id").alias("a"), F.explode("repeats_of").alias("b"))
     roots = components(links).select(F.col("node").alias("_node"), "root")
