@@ -318,6 +318,16 @@ def test_both_sides_of_an_inserted_word_are_marked():
     assert compact_windows.verified(mine, 0, len(mine), other, 0) == compact_windows.verified(mine, 0, len(mine), other, -1) == [(0, 117)]
 
 
+def test_short_passages_with_a_change_near_an_end():
+    w, ends = [f"w{k}" for k in range(50)], [[f"{x}{k}" for k in range(20)] for x in "abcd"]
+    for at in (2, 47):
+        near = [*w[:at], "changed", *w[at + 1 :]]
+        mine, other = tokens_of(ends[0], near, ends[1]), tokens_of(ends[2], w, ends[3])
+        assert compact_windows.similarity(mine[20:66], other[20:66]) == 43 / 49
+        marked = {k for a, b in compact_windows.verified(mine, 12, 74, other, 12) for k in range(a, b)}
+        assert set(range(23, 63)) <= marked <= set(range(20, 66))
+
+
 def test_nothing_to_compare_with():
     import numpy as np
 

@@ -390,7 +390,8 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
 
     other[align] stands where mine[begin] does. The ends are cut to the first and last shared token; if the whole isn't
     similar enough, the stretches are tried in which every passage of PASSAGE tokens shares enough, and in those that are
-    not similar enough either their parts that share every token.
+    not similar enough either their parts that share every token and each passage of PASSAGE tokens. Length and similarity
+    are those of the passage before its ends are cut.
     """
     if not len(other):
         return []  # a passage at the start of its own document has nothing before it
@@ -409,13 +410,23 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
     for k, t in enumerate(other.tolist()):
         places.setdefault(t, []).append(k)
 
+    def inside(low: int, high: int, i: int, j: int) -> bool:
+        """Whether own[i:j], shorter than PASSAGE, is what a passage in own[low:high] shares with one of `other`."""
+        for k in places[int(own[i])]:
+            for q in range(max(0, k + j - i - PASSAGE), min(k, len(other) - PASSAGE) + 1):
+                there = other[q : q + PASSAGE]
+                if any(similarity(own[p : p + PASSAGE], there) >= SIMILARITY for p in range(max(low, j - PASSAGE), min(i, high - PASSAGE) + 1)):
+                    return True
+        return False
+
     def trimmed(i: int, j: int) -> list[tuple[int, int]]:
         where = np.flatnonzero(shared[i:j])
         if not len(where):
             return []
+        low, high = i, j
         i, j = i + int(where[0]), i + int(where[-1]) + 1
         if j - i < PASSAGE:
-            return []
+            return [(begin + i, begin + j)] if inside(low, high, i, j) else []
         # Between the first and the last shared token, each taken where it stands nearest to its place in `mine`.
         p = min(places[int(own[i])], key=lambda k: abs(k - i - align))
         q = min(places[int(own[j - 1])], key=lambda k: abs(k - p - (j - 1 - i)))
@@ -435,6 +446,9 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
         if not found:  # passages without a break inside a stretch that differs too often as a whole
             breaks = np.flatnonzero(~np.r_[False, shared[i:j], False])
             found = [r for a, b in zip(breaks.tolist(), breaks[1:].tolist()) if b - a - 1 >= PASSAGE for r in trimmed(i + a, i + b - 1)]
+            for k in range(i, j - PASSAGE + 1):  # and the others one by one
+                if not any(a <= begin + k and begin + k + PASSAGE <= b for a, b in found):
+                    found += trimmed(k, k + PASSAGE)
         out += found
     return out
 
