@@ -306,6 +306,17 @@ def test_compact_windows_ask_every_holder(spark):
         assert set(range(20, 80)) <= marked, k
 
 
+def test_compact_windows_find_every_pair_at_the_bound(spark):
+    r, text = random.Random(22), {}
+    for k in range(400):
+        base = [f"{r.choice(WORDS)}{k}y{j}" for j in range(50)]
+        near = list(base)
+        near[r.randrange(4, 46)] = "changed"
+        text |= {2 * k: " ".join(base), 2 * k + 1: " ".join(near)}
+    got = {x["doc_id"]: x for x in compact_windows.near_duplicate_passages(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    assert all(alike(text[2 * k], text[2 * k + 1]) and got[2 * k + 1]["repeats_of"] == [2 * k] and got[2 * k + 1]["class_id"] == 2 * k for k in range(400))
+
+
 def tokens_of(*parts):
     import pyarrow as pa
 
