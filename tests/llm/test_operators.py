@@ -58,9 +58,13 @@ def words_of(text):
     return (text or "").encode().lower().split()
 
 
-def test_suffix_dedup_against_every_window(docs, empty):
+def test_suffix_dedup_against_every_window(spark, docs, empty):
+    r = random.Random(3)
+    edges = [(100 + k, prose(r.randint(0, 9), k) + PASSAGE[r.randint(0, 60) : 300 + r.randint(0, 80)] + prose(r.randint(0, 9), -k)) for k in range(60)]
+    edges += [(2**63 - 1, PASSAGE), (-(2**63), PASSAGE[:150] + "\0" * 120), (200, "\0" * 130)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "src", 1, 1, "b", "r") for i, t in edges], SCHEMA))
     seen, want = set(), []
-    for i, t in sorted([(r[0], r[1]) for r in rows()]):
+    for i, t in sorted([(r[0], r[1]) for r in rows()] + edges):
         raw = (t or "").encode()
         gone = bytearray(len(raw))
         for p in range(len(raw) - 99):
@@ -71,8 +75,8 @@ def test_suffix_dedup_against_every_window(docs, empty):
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         want.append((i, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    for size in (2_000, 1_000_000):
-        assert sorted(map(tuple, suffix_dedup.repeated_bytes(docs, size).collect())) == sorted(want)
+    for size, hot in ((2_000, suffix_dedup.HOT), (1_000_000, suffix_dedup.HOT), (2_000, 8)):
+        assert sorted(map(tuple, suffix_dedup.repeated_bytes(docs, size, hot).collect())) == sorted(want), (size, hot)
     assert suffix_dedup.repeated_bytes(empty).count() == 0
 
 

@@ -12,7 +12,10 @@ neighbours, so equal suffixes and groups with the same gram come out together. S
 once, with their first place; the answer comes back once a run and is spread over the places there.
 
 In a group with several different suffixes (edges of repeated passages), the strings of LENGTH bytes around the anchor
-are compared window by window, by prefix hashes, all windows of a bucket at once.
+are told apart by the common prefixes that the merge found and those of the bytes before the anchor, byte for byte.
+Groups are settled as the merge goes on, so a bucket holds its coded runs and few suffixes besides. A gram with more than
+HOT anchors (a passage in very many documents) makes no group: each string of LENGTH bytes around its anchors is sorted
+by itself, in the bucket of its own bytes, and a run sends those it has several times once.
 
 Order: doc_id (nulls last), then, among rows that repeat an id, the text's hash and the row's number, then the start.
 Defined results: null and empty texts have no bytes; repeated rows are documents like any others; texts shorter than
@@ -47,7 +50,8 @@ BLOCK = 1 << 18
 #: Bytes of text in a run: a worker holds a few numbers for each byte.
 RUN_BYTES = 3_000_000
 _POWERS, _INVERSES = (np.concatenate((np.ones(1, np.uint64), np.full(BLOCK, b, np.uint64))).cumprod(dtype=np.uint64) for b in (_B, _INVERSE))
-NULL_ID = 2**63 - 1
+#: Anchors of one gram beyond which its windows travel one by one, each to the bucket of its own bytes.
+HOT = 50_000
 
 
 def gram_hashes(text: np.ndarray, k: int = GRAM) -> np.ndarray:
@@ -64,12 +68,13 @@ class Run:
     """The documents of a run as one buffer, in a fixed order, with their anchors."""
 
     def __init__(self, table: pa.Table):
-        ids = [NULL_ID if i is None else i for i in table.column("doc_id").to_pylist()]
+        ids = [(i is None, i or 0) for i in table.column("doc_id").to_pylist()]
         raw = [t.encode() for t in table.column("text").to_pylist()]
         tie = [xxhash.xxh64_intdigest(t) >> 16 for t in raw]
         order = sorted(range(len(ids)), key=lambda k: (ids[k], tie[k]))
         self.run = table.column("run")[0].as_py()
-        self.doc_id = np.array([ids[k] for k in order], np.int64)
+        self.none = np.array([ids[k][0] for k in order], bool)
+        self.doc_id = np.array([ids[k][1] for k in order], np.int64)
         self.text = [raw[k] for k in order]
         copy = np.zeros(len(order), np.int64)
         for k in range(1, len(order)):
@@ -95,11 +100,16 @@ class Run:
 def _grams(table: pa.Table):
     _, h = Run(table).anchors()
     keys, n = np.unique(h, return_counts=True)
-    return keys, {"n": np.minimum(n, 2).astype(np.uint8)}
+    return keys, {"n": n.astype(np.uint32)}
 
 
-def _repeated(inverse: np.ndarray, columns: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
-    return {"again": (np.bincount(inverse, columns["n"], n) > 1).astype(np.uint8)}
+def _repeated(hot: int):
+    def fold(inverse: np.ndarray, columns: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+        """0 for a gram that occurs once, 1 for others, 2 for those with more than `hot` anchors."""
+        total = np.bincount(inverse, columns["n"], n)
+        return {"again": (total > 1).astype(np.uint8) + (total > hot)}
+
+    return fold
 
 
 def front_coded(strings: list[bytes]) -> dict[str, np.ndarray]:
@@ -201,15 +211,22 @@ def _suffixes(n_buckets: int):
         at, h = docs.anchors()
         rows: list[tuple[int, int, int, bytes]] = []
         members: list[np.ndarray] = []
-        if len(at):
-            keys = np.unique(h)
-            again = answers(replies)["again"].astype(bool)
-            keep = again[np.searchsorted(keys, h)]
-            at, h = at[keep], h[keep]
-        doc = np.searchsorted(docs.start, at, side="right") - 1
+        sole: list[int] = []
+        again = answers(replies)["again"][np.searchsorted(np.unique(h), h)] if len(at) else np.zeros(0, np.uint8)
+        at, h, again = at[again > 0], h[again > 0], again[again > 0]
+        doc = doc_of(docs, at)
         low, high = np.maximum(docs.start[doc], at - BEFORE), np.minimum(docs.end[doc], at + LENGTH)
         fits = high - low >= LENGTH
-        at, h, doc, low, high = (x[fits] for x in (at, h, doc, low, high))
+        hot = fits & (again > 1)
+        if hot.any():  # every window around, by itself
+            offset = np.arange(BEFORE + 1)
+            window = at[hot][:, None] - offset
+            window = np.unique(window[(window >= low[hot][:, None]) & (window + LENGTH <= high[hot][:, None])])
+            parts = (window, gram_hashes(docs.buffer, LENGTH)[window], window, window + LENGTH, np.ones(len(window), np.uint8))
+        else:
+            parts = (at[:0], h[:0], at[:0], at[:0], np.zeros(0, np.uint8))
+        own = fits & ~hot
+        at, h, low, high, alone = (np.concatenate(x) for x in zip((at[own], h[own], low[own], high[own], np.zeros(own.sum(), np.uint8)), parts))
         order = np.argsort(h, kind="stable")
         bounds = bucket_bounds(h[order], n_buckets)
         whole = docs.buffer.tobytes()
@@ -225,18 +242,19 @@ def _suffixes(n_buckets: int):
             found = [np.sort(at[places[s]]) for s in strings]  # documents lie in order, so the first place is the least
             first = np.array([f[0] for f in found])
             d = doc_of(docs, first)
-            blob = pack(front_coded(strings) | {"doc_id": docs.doc_id[d], "tie": docs.tie[d], "at": first - docs.start[d]})
+            blob = pack(front_coded(strings) | {"doc_id": docs.doc_id[d], "none": docs.none[d].view(np.uint8), "tie": docs.tie[d], "at": first - docs.start[d]})
             rows.append((0, docs.run, b, blob))
             members += found
+            sole += [alone[places[s][0]] for s in strings]
         flagged = np.unique(doc_of(docs, np.concatenate(members))) if members else np.zeros(0, np.int64)
         has = np.zeros(len(docs.text), bool)
         has[flagged] = True
         new_start = np.cumsum(np.where(has, docs.end - docs.start, 0)) - np.where(has, docs.end - docs.start, 0)
         state = {
-            "doc_id": docs.doc_id, "size": docs.end - docs.start, "start": new_start, "has": has,
+            "doc_id": docs.doc_id, "none": docs.none, "size": docs.end - docs.start, "start": new_start, "has": has,
             "sha": [None if x else hashlib.sha256(t).hexdigest() for x, t in zip(has, docs.text)],
             "text": b"".join(t for x, t in zip(has, docs.text) if x),
-            "counts": np.array([len(m) for m in members], np.int32),
+            "counts": np.array([len(m) for m in members], np.int32), "sole": np.array(sole, bool),
             "members": moved(docs, members, new_start).astype(np.int32),
         }
         rows.append((1, docs.run, -1, zstandard.compress(pickle.dumps(state, protocol=5), 3)))
@@ -256,88 +274,134 @@ def moved(docs: Run, members: list[np.ndarray], new_start: np.ndarray) -> np.nda
     return at - docs.start[d] + new_start[d]
 
 
-def _sides(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes after and before the anchor, as tables, and how many there are."""
-    right, left = np.zeros((len(strings), LENGTH), np.uint8), np.zeros((len(strings), BEFORE), np.uint8)
+def _sides(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of bytes after the anchor, those before it as a table (nearest first), and how many these are."""
+    left = np.zeros((len(strings), BEFORE), np.uint8)
     r, n = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
     for k, s in enumerate(strings):
         cut = s.find(EDGE, 0, LENGTH + 1)
         r[k] = LENGTH if cut < 0 or cut >= LENGTH else cut
         rest = s[r[k] + (r[k] < LENGTH) :]
         n[k] = len(rest) - rest.endswith(EDGE)
-        right[k, : r[k]] = np.frombuffer(s, np.uint8, r[k])
         left[k, : n[k]] = np.frombuffer(rest, np.uint8, n[k])
-    return right, left, r, n
+    return r, left, n
 
 
-#: Suffixes whose windows are compared together.
-TOGETHER = 20_000
+def _left_order(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by their bytes, and the prefix that each shares with the one before in that order."""
+    wide = np.zeros((len(left), -(-BEFORE // 8) * 8), np.uint8)
+    wide[:, :BEFORE] = left
+    order = np.lexsort(wide.view(">u8").astype(np.uint64).T[::-1])
+    shared = np.zeros(len(left), np.int64)
+    if len(left) > 1:
+        differ = left[order[1:]] != left[order[:-1]]
+        shared[1:] = np.where(differ.any(1), differ.argmax(1), BEFORE)
+    return order, shared
 
 
-def first_windows(group: np.ndarray, strings: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_windows(strings: list[bytes], shared: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix the least and the largest offset of its anchor in a window that a suffix of smaller rank also has.
 
-    Both are 255 where there is none. Suffixes come by group; windows are compared inside a group.
+    Both are 255 where there is none. The suffixes are sorted and distinct; `shared` is the prefix that each has in common
+    with the one before, as the merge found it. A window with the anchor at offset o is LENGTH - o bytes behind the anchor
+    and o before it: suffixes share the former if no `shared` between them is shorter, and the latter by the like rule in
+    the order of the bytes before the anchor. So equal windows are those of equal numbers on both sides, byte for byte; one
+    offset is looked at after the other, so that memory stays at a few numbers a suffix.
     """
-    least, most = np.full(len(strings), 255, np.int64), np.full(len(strings), 255, np.int64)
-    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() + [len(group)]
-    at = 0
-    while at < len(cuts) - 1:
-        to = at + 1
-        while to < len(cuts) - 1 and cuts[to + 1] - cuts[at] <= TOGETHER:
-            to += 1
-        s, e = cuts[at], cuts[to]
-        at = to
-        right, left, r, n = _sides(strings[s:e])
-        powers = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
-        after = np.concatenate((np.zeros((e - s, 1), np.uint64), np.cumsum((right.astype(np.uint64) + np.uint64(1)) * powers[:LENGTH], 1, dtype=np.uint64)), 1)
-        before = np.concatenate((np.zeros((e - s, 1), np.uint64), np.cumsum((left.astype(np.uint64) + np.uint64(1)) * powers[LENGTH:], 1, dtype=np.uint64)), 1)
-        offset = np.arange(BEFORE + 1)
-        row, o = np.nonzero((offset <= n[:, None]) & (LENGTH - offset <= r[:, None]))
-        code = mixed(mixed(after[row, LENGTH - o] + np.uint64(1)) + mixed(before[row, o] ^ np.uint64(0xA5A5A5A5)) + group[s:e][row].astype(np.uint64) * powers[0] + o.astype(np.uint64) * powers[1])
-        order = np.lexsort((rank[s:e][row], code))
-        code, row, o = code[order], row[order], o[order]
-        first = np.r_[True, code[1:] != code[:-1]][: len(code)]
-        again = ~first  # ranks differ, so all but the first of a window start later
-        lo, hi = np.full(e - s, 255, np.int64), np.full(e - s, -1, np.int64)
-        np.minimum.at(lo, row[again], o[again])
-        np.maximum.at(hi, row[again], o[again])
-        least[s:e], most[s:e] = lo, np.where(hi < 0, 255, hi)
+    size = len(strings)
+    r, left, n = _sides(strings)
+    by_left, left_shared = _left_order(left)
+    order = np.argsort(rank, kind="stable")
+    least, most = np.full(size, 255, np.int64), np.full(size, 255, np.int64)
+    before = np.empty(size, np.int64)
+    for o in range(BEFORE + 1):
+        new = np.r_[True, shared[1:] < LENGTH - o]
+        alone = new & np.r_[new[1:], True]
+        behind = np.cumsum(new)
+        new = np.r_[True, left_shared[1:] < o]
+        before[by_left] = np.cumsum(new)
+        alone[by_left] |= new & np.r_[new[1:], True]
+        rows = order[(~alone & (n >= o) & (r >= LENGTH - o))[order]]
+        if len(rows) < 2:
+            continue
+        _, first = np.unique(behind[rows] * (size + 1) + before[rows], return_index=True)
+        again = np.ones(len(rows), bool)
+        again[first] = False  # rows come by rank: all but the first of a window start later
+        rows = rows[again]
+        least[rows] = np.where(least[rows] == 255, o, least[rows])
+        most[rows] = o
     return least, most
 
 
+#: Distinct suffixes after which a merge settles the groups that it holds. A group has HOT anchors at most.
+TOGETHER = 20_000
+
+
+class _Groups:
+    """Distinct suffixes of whole groups as the merge brings them, with the runs that have them; settled block by block."""
+
+    def __init__(self, coded: list[dict[str, np.ndarray]]):
+        self.coded = coded
+        # 254: another run has the suffix first, so all its windows start earlier elsewhere
+        self.least, self.most = ([np.full(len(c["length"]), 254, np.uint8) for c in coded] for _ in range(2))
+        self.clear()
+
+    def clear(self) -> None:
+        self.strings: list[bytes] = []
+        self.shared, self.group, self.run, self.place, self.which = ([] for _ in range(5))
+
+    def add(self, s: bytes, k: int, r: int, i: int) -> None:
+        if not (self.strings and k == len(s) == len(self.strings[-1])):
+            new = k < GRAM or not self.strings
+            if new and len(self.strings) >= TOGETHER:
+                self.settle()
+            self.group.append((self.group[-1] if self.strings else 0) + new)
+            self.strings.append(s)
+            self.shared.append(k)
+        self.run.append(r)
+        self.place.append(i)
+        self.which.append(len(self.strings) - 1)
+
+    def settle(self) -> None:
+        if not self.strings:
+            return
+        run, place, which, group = (np.array(x, np.int64) for x in (self.run, self.place, self.which, self.group))
+        by_run = np.argsort(run, kind="stable")
+        parts = [(r, by_run[i:j]) for r, i, j in zip(np.unique(run).tolist(), *_bounds(run[by_run]))]
+        columns = {}
+        for name in ("at", "tie", "doc_id", "none"):
+            columns[name] = np.empty(len(run), np.int64)
+            for r, own in parts:
+                columns[name][own] = self.coded[r][name][place[own]]
+        order = np.lexsort(tuple(columns.values()))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        best = np.full(len(self.strings), len(order), np.int64)
+        np.minimum.at(best, which, rank)
+        least, most = np.full(len(self.strings), 255, np.int64), np.full(len(self.strings), 255, np.int64)
+        own = np.flatnonzero(np.bincount(group)[group] > 1)
+        if len(own):
+            least[own], most[own] = first_windows([self.strings[k] for k in own.tolist()], np.array(self.shared, np.int64)[own], best[own])
+        first = rank == best[which]
+        for r, own in parts:
+            mine = own[first[own]]
+            self.least[r][place[mine]], self.most[r][place[mine]] = least[which[mine]], most[which[mine]]
+        self.clear()
+
+
+def _bounds(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where each stretch of equal values begins and ends."""
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]).tolist()
+    return at, [*at[1:], len(x)]
+
+
 def _merge(table: pa.Table) -> pa.Table:
     coded = [unpack(b) for b in table.column("blob").to_pylist()]
-    strings: list[bytes] = []
-    which, group = [], []
-    source = [[0] * len(c["length"]) for c in coded]
-    g = -1
+    groups = _Groups(coded)
     for s, k, r, i in merged([decoded(c) for c in coded]):
-        if not (strings and k == len(s) == len(strings[-1])):
-            g += k < GRAM or not strings
-            strings.append(s)
-            group.append(g)
-        source[r][i] = len(strings) - 1
-    which = np.concatenate([np.array(x, np.int64) for x in source])
-    keys = [np.concatenate([c[n] for c in coded]) for n in ("at", "tie", "doc_id")]
-    order = np.lexsort(keys)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    best = np.full(len(strings), len(order), np.int64)
-    np.minimum.at(best, which, rank)
-    group = np.array(group, np.int64)
-    several = np.bincount(group, minlength=g + 1)[group] > 1
-    least, most = np.full(len(strings), 255, np.int64), np.full(len(strings), 255, np.int64)
-    if several.any():
-        own = np.flatnonzero(several)
-        least[own], most[own] = first_windows(group[own], [strings[k] for k in own], best[own])
-    is_first = rank == best[which]
-    out, at = [], 0
-    for c in coded:
-        part = slice(at, at + len(c["length"]))
-        at = part.stop
-        # 254: another run has it first, so all its windows start earlier elsewhere
-        out.append(pack({"least": np.where(is_first[part], least[which[part]], 254).astype(np.uint8), "most": np.where(is_first[part], most[which[part]], 254).astype(np.uint8)}))
+        groups.add(s, k, r, i)
+    groups.settle()
+    out = [pack({"least": a, "most": b}) for a, b in zip(groups.least, groups.most)]
     return pa.table({"run": table.column("run"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
 
 
@@ -359,8 +423,9 @@ def _removed(states: pa.Table, replies: pa.Table) -> pa.Table:
         d = held[np.searchsorted(start[held], at, side="right") - 1]
         inside = at - start[d]
         # All windows that hold the anchor, as offsets of the anchor in them.
-        lo = np.maximum(0, LENGTH - np.minimum(LENGTH, size[d] - inside))
-        hi = np.minimum(BEFORE, inside)
+        sole = np.repeat(s["sole"], counts)
+        lo = np.where(sole, 0, np.maximum(0, LENGTH - np.minimum(LENGTH, size[d] - inside)))
+        hi = np.where(sole, 0, np.minimum(BEFORE, inside))
         least, most = (np.repeat(told[k].astype(np.int64), counts) for k in ("least", "most"))
         none = first & (least == 255)
         some = first & (least < 254)
@@ -375,15 +440,15 @@ def _removed(states: pa.Table, replies: pa.Table) -> pa.Table:
             n_removed[k] = own.sum()
             n_spans[k] = (own[1:] & ~own[:-1]).sum() + (own[:1].sum())
             sha[k] = hashlib.sha256(text[start[k] : start[k] + size[k]][~own].tobytes()).hexdigest()
-    ids = pa.array([None if i == NULL_ID else i for i in s["doc_id"].tolist()], pa.int64())
+    ids = pa.array(s["doc_id"], pa.int64(), mask=s["none"])
     return pa.table([ids, pa.array(size), pa.array(n_removed), pa.array(n_spans), pa.array(sha, pa.string())], schema=_RESULT)
 
 
-def repeated_bytes(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, run_bytes: int = RUN_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     runs, n = in_runs(docs, run_bytes)
     n_buckets = pieces(n, 2)
-    work = stored(with_answers(runs, ask(runs, n_buckets, _grams, _repeated), _suffixes(n_buckets), _WORK), "kind")
+    work = stored(with_answers(runs, ask(runs, n_buckets, _grams, _repeated(hot)), _suffixes(n_buckets), _WORK), "kind")
     told = work.filter("kind = 0").select("run", "bucket", "blob").groupBy("bucket").applyInArrow(_merge, "run int, bucket int, answer binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return with_answers(work.filter("kind = 1").select("run", "blob"), told, _removed, schema)
