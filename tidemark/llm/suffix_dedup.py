@@ -87,14 +87,14 @@ class Run:
         self.end = self.start + lengths
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and gram hashes; grams over an edge take no part."""
+        """Positions and keys of their grams; grams over an edge take no part. Least hashes are small, so they are mixed once more."""
         h = gram_hashes(self.buffer)
         edges = np.flatnonzero(self.buffer == 0xFF)
         for e in edges[edges < len(h) + GRAM - 1].tolist():
             h[max(0, e - GRAM + 1) : e + 1] = ~np.uint64(0)
         at = minimizers(h, LENGTH - GRAM + 1)
         at = at[h[at] != ~np.uint64(0)]
-        return at, h[at]
+        return at, mixed(h[at])
 
 
 def _grams(table: pa.Table):
