@@ -408,10 +408,36 @@ def test_bpe_tree_equals_the_library(docs, empty):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((text[r["doc_id"]] or "").encode()).hexdigest()
     assert len(got) == len(rows()) and bpe_tree.encode_decode(empty, path, public_tokenizers.PATTERN).count() == 0
-    tree, r = bpe_tree.Tree(path, public_tokenizers.PATTERN, leaf=3, window=1), random.Random(6)
-    for _ in range(1500):
-        s = "".join(r.choice([" ", "  ", "a", "the", "\n", "é", "'s", "'r", "e", "12", "日", ".", " \n", "\x85"]) for _ in range(r.randint(0, 14)))
-        assert tree.encode(s).ids == enc.encode_ordinary(s), repr(s)
+    other = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    parts = [" ", "  ", "a", "the", "\n", "\r\n", "é", "'s", "'r", "'", "l", "e", "12", "½", "日", ".", "!?", " \n", "\x85", chr(1368), chr(2191), chr(73184), "🙂"]
+    r = random.Random(6)
+    for pattern in (public_tokenizers.PATTERN, other):
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for leaf, window in ((1, 1), (3, 1), (5, 2), (16, 4)):
+            tree = bpe_tree.Tree(path, pattern, leaf, window)
+            for _ in range(700):
+                s = "".join(r.choice(parts) for _ in range(r.randint(0, 40)))
+                ids = tree.encode(s)
+                assert ids == enc.encode_ordinary(s), (pattern, leaf, repr(s))
+                assert tree.decode(ids) == s.encode()
+    tree = bpe_tree.Tree(path, public_tokenizers.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for s in ("x" * 40_000, "日本" * 9_000, "\u0558" * 5_000, " " * 3_000 + "a", "ab cd " * 9_000, "\n" * 2_000):
+        assert tree.encode(s) == enc.encode_ordinary(s)
+    for bad in (r"(?<=a)b|.", r"a*", r"\bfoo|.", r"(ab)+|.", r"^a|."):
+        with pytest.raises(ValueError):
+            bpe_tree.Tree(path, bad)
+
+
+def test_bpe_tree_joins_in_any_order():
+    tree, r = bpe_tree.Tree(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, window=2), random.Random(8)
+    for _ in range(300):
+        s = "".join(r.choice([" ", "  ", "a", "the", "\n", "'s", "'", "12", "."]) for _ in range(30))
+        i, j = sorted(r.sample(range(len(s) + 1), 2))
+        a, b, c = (tree.scanned(s, s, x, y) for x, y in ((0, i), (i, j), (j, len(s))))
+        left, right = tree.join(s, s, tree.join(s, s, a, b), c), tree.join(s, s, a, tree.join(s, s, b, c))
+        done = [n.pieces + tree.scanned(s, s, n.rest, len(s), last=True).pieces for n in (left, right)]
+        assert done[0] == done[1] == [tree.ids_of(m) for m in tree.pattern.findall(s)]
 
 
 def test_markov_model_counts_and_adds_up(docs, empty):

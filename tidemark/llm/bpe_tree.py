@@ -1,21 +1,34 @@
 """Byte-level BPE over a monoid tree: halves are encoded by themselves, neighbours are joined at their boundary.
 
-Pre-tokens of the split pattern never hold a white-space character behind another character, so every place between a
-non-space character and a following space or line feed is a boundary of pre-tokens whatever stands around it (a sure
-boundary). `join` takes a window around the place where two encoded halves meet and grows it on each side until it ends
-at a sure boundary; only the window's tokens are encoded anew, tokens outside it provably cannot change. Where a half
-has no sure boundary the window takes the half whole. Joining is associative and the empty text is its identity.
-Decoding concatenates the bytes of the leaves up the tree.
-
-Defined results: null and empty texts have no ids; each row gives one row; texts of any length are encoded whole.
+A text is halved down to leaves of LEAF characters. A node holds the pre-tokens of its stretch with their ids, from a scan
+that began at the stretch's first character, and the place `rest` from which on nothing is settled. What a pattern without
+lookbehind matches from a place on depends only on characters that it looks at. A branch of the pattern takes each of them
+by a repeated character class or by one of at most k other atoms (`branches` reads both off the pattern), so it can reach
+the end of a stretch only if all characters up to there, but for k, are of its repeated classes. Before the last place where
+that holds for some branch every pre-token is settled, whatever text follows.
+
+`join` scans on from the left node's rest into a window of the right node and doubles the window until a pre-token begins
+where one of the right node begins: from there on the right node's pre-tokens provably stay, and only the window is
+encoded anew. Joining is associative and the empty text is its identity. The root scans its rest to the true end.
+
+Pre-tokens are merged here by the ranks: the whole pre-token if it has a rank, else the pair of lowest rank first, the
+leftmost of equals. Letters and digits are those of the tiktoken library, whose tables may differ from the regex module's.
+Decoding concatenates bytes up a tree of halves.
+
+Defined results: null and empty texts have no ids; each row gives one row; texts of any length are encoded whole;
+characters that the split pattern does not match have no ids; a pattern that looks behind, repeats a group without end,
+looks at line ends or may match the empty text is refused with ValueError.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -24,75 +37,203 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import id_and_text
 
-#: Characters in a leaf of the tree.
-LEAF = 8192
-#: Characters of a boundary window on each side at first.
+#: Characters in a leaf of the tree, and ids in a leaf of decoding.
+LEAF = 256
+#: Characters of a boundary window at first.
 WINDOW = 32
-#: Sure boundaries, from ASCII characters alone: fewer than there are, and all of them true ones.
-_SURE = re.compile(r"[!-~](?=[ \n])")
+#: Pre-tokens that a worker remembers before it forgets all of them, and the length of the longest; bounds memory, not results.
+MEMORY, LONGEST = 300_000, 64
+_ATOM = re.compile(r"\\[pP]\{\^?\w+\}|\\[^pP\d]|\[\^?\]?(?:\\.|[^\]\\])*\]|[^\\\[\]()|?*+{}^$]", re.S)
+_REPEAT = re.compile(r"(?:([?*+])|\{(\d+)(,?)(\d*)\})[?+]?")
+_OPEN = re.compile(r"\((?:\?(?:[ims]*:|[=!>]))?")
+
+
+def branches(pattern: str) -> list[tuple[str, int]]:
+    """For each alternative the classes that it repeats without end (as one class pattern, maybe empty) and the most
+    characters that its other atoms take or look at. ValueError where the pattern allows no such bound."""
+
+    def refuse(why: str) -> None:
+        raise ValueError(f"the split pattern {why}: {pattern}")
+
+    def counted(at: int) -> tuple[int | None, int]:
+        m = _REPEAT.match(pattern, at)
+        if not m:
+            return 1, at
+        most = {"?": 1, "*": None, "+": None}[m[1]] if m[1] else int(m[4]) if m[4] else None if m[3] else int(m[2])
+        return most, m.end()
+
+    def alternatives(at: int) -> tuple[list[tuple[list[str], int]], int]:
+        out: list[tuple[list[str], int]] = [([], 0)]
+        while at < len(pattern) and pattern[at] != ")":
+            classes, k = out[-1]
+            if pattern[at] == "|":
+                out.append(([], 0))
+                at += 1
+            elif m := _OPEN.match(pattern, at):
+                inner, at = alternatives(m.end())
+                if at >= len(pattern):
+                    refuse("leaves a group open")
+                most, at = counted(at + 1)
+                if most is None:
+                    refuse("repeats a group without end")
+                out[-1] = (classes + [c for x, _ in inner for c in x], k + most * max(n for _, n in inner))
+            elif (m := _ATOM.match(pattern, at)) and not (m[0][0] == "\\" and m[0][1] in "bBAGKmMzZXR"):
+                most, at = counted(m.end())
+                out[-1] = (classes + [m[0]], k) if most is None else (classes, k + most)
+            else:
+                refuse("looks behind or has parts unknown here")
+        return out, at
+
+    found, at = alternatives(0)
+    if at < len(pattern):
+        refuse("closes a group that is not open")
+    return [("|".join(dict.fromkeys(classes)), k) for classes, k in found]
 
 
 class Node(NamedTuple):
-    text: str
-    ids: list[int]
+    """Pre-tokens of a stretch: where each begins, and its ids; the stretch's rest is not settled."""
+
+    starts: list[int]
+    pieces: list[tuple[int, ...]]
+    rest: int
+    end: int
+
+
+@lru_cache(maxsize=4)
+def _stand_ins(pattern: str) -> dict[str, str]:
+    """Characters that the tiktoken library takes for letters or digits and the regex module doesn't, or the reverse.
+
+    Each with a character that both take for the library's kind. The kinds are those the pattern names.
+    """
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    one_byte = {bytes([b]): b for b in range(256)}
+    kinds = {k: c for k, c in ((r"\p{L}", "ä"), (r"\p{N}", "½"), (r"\s", " ")) if k in pattern}
+    known = []
+    for kind, like in kinds.items():
+        bpe = tiktoken.Encoding("kind", pat_str=kind, mergeable_ranks=one_byte, special_tokens={})
+        known.append((like, set(bytes(bpe.encode_ordinary(every)).decode()), set(regex.findall(kind, every))))
+    odd = set().union(*(theirs ^ ours for _, theirs, ours in known))
+    return {c: next((like for like, theirs, _ in known if c in theirs), "§") for c in odd}
 
 
 class Tree:
     def __init__(self, ranks_file: str, pattern: str, leaf: int = LEAF, window: int = WINDOW):
-        import tiktoken
+        import regex
 
+        if regex.match(pattern, ""):
+            raise ValueError("the split pattern may match the empty text")
+        #: Characters outside each alternative's repeated classes, from the end of a text backwards, and how many of them it may pass.
+        self.passes = [(regex.compile(f"(?rs)(?!{classes})." if classes else "(?rs)."), k) for classes, k in branches(pattern)]
         with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.size = {i: len(b) for b, i in ranks.items()}
+            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.pattern, self.odd = regex.compile(pattern), _stand_ins(pattern)
+        self.translated = str.maketrans(self.odd)
         self.leaf, self.window = max(1, leaf), max(1, window)
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def _left(self, text: str) -> int:
-        """Start of the window in a left half: behind it nothing stays as it is for certain."""
-        width = self.window
-        while width < len(text):
-            found = [m.end() for m in _SURE.finditer(text, len(text) - width)]
-            if found:
-                return found[-1]
-            width *= 2
-        return 0
-
-    def _right(self, text: str) -> int:
-        """End of the window in a right half."""
-        width = self.window
-        while width < len(text):
-            if found := _SURE.search(text, 0, width):
-                return found.end()
+    def merged(self, raw: bytes) -> tuple[int, ...]:
+        """Ids of one pre-token."""
+        if (i := self.ranks.get(raw)) is not None:
+            return (i,)
+        n, rank = len(raw), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a byte
+        heap = [(r, k, k + 2) for k in range(n - 1) if (r := rank(raw[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        gone = bytearray(n + 1)
+        while heap:
+            _, k, e = heapq.heappop(heap)
+            m = end[k]
+            if gone[k] or m >= n or end[m] != e:
+                continue  # a part of this pair has changed since
+            gone[m], end[k] = 1, e
+            if e < n:
+                before[e] = k
+                if (r := rank(raw[k : end[e]])) is not None:
+                    heapq.heappush(heap, (r, k, end[e]))
+            if (p := before[k]) >= 0 and (r := rank(raw[p:e])) is not None:
+                heapq.heappush(heap, (r, p, e))
+        out, k = [], 0
+        while k < n:
+            out.append(self.ranks[raw[k : end[k]]])
+            k = end[k]
+        return tuple(out)
+
+    def ids_of(self, piece: str) -> tuple[int, ...]:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.merged(piece.encode())
+            if len(piece) <= LONGEST:
+                if len(self.known) >= MEMORY:
+                    self.known.clear()
+                self.known[piece] = ids
+        return ids
+
+    def settled(self, view: str) -> int:
+        """The last place from which no alternative of the pattern can reach the end of the text; -1 if there is none."""
+        least = len(view)
+        for outside, k in self.passes:
+            place = -1
+            for n, m in enumerate(outside.finditer(view)):
+                if n == k:
+                    place = m.start()
+                    break
+            least = min(least, place)
+            if least < 0:
+                break
+        return least
+
+    def scanned(self, text: str, view: str, start: int, end: int, last: bool = False) -> Node:
+        """Settled pre-tokens of text[start:end]; all of them if the text ends there."""
+        starts, pieces, rest, known = [], [], start, self.known.get
+        view = view[start:end]
+        most = end - start if last else self.settled(view)
+        for m in self.pattern.finditer(view):
+            a, b = m.span()
+            if a > most:
+                break
+            rest = start + b
+            piece = text[start + a : rest]
+            starts.append(start + a)
+            pieces.append(known(piece) or self.ids_of(piece))
+        return Node(starts, pieces, rest, end)
+
+    def join(self, text: str, view: str, a: Node, b: Node) -> Node:
+        begin, width, k = a.end, self.window, 0
+        starts, pieces, rest = a.starts, a.pieces, a.rest
+        while True:
+            to = min(b.end, begin + width)
+            more = self.scanned(text, view, rest, to)
+            for at, p in enumerate(more.starts):
+                while k < len(b.starts) and b.starts[k] < p:
+                    k += 1
+                if k < len(b.starts) and b.starts[k] == p:
+                    return Node(starts + more.starts[:at] + b.starts[k:], pieces + more.pieces[:at] + b.pieces[k:], b.rest, b.end)
+            starts, pieces, rest = starts + more.starts, pieces + more.pieces, more.rest
+            if to == b.end:
+                return Node(starts, pieces, rest, b.end)
             width *= 2
-        return len(text)
-
-    def _tokens(self, ids: Iterator[int], n_bytes: int) -> int:
-        """How many tokens make n_bytes."""
-        k = 0
-        while n_bytes > 0:
-            n_bytes -= self.size[next(ids)]
-            k += 1
-        assert n_bytes == 0, "a sure boundary lies inside a token"
-        return k
-
-    def join(self, a: Node, b: Node) -> Node:
-        if not a.text or not b.text:
-            return a if a.text else b
-        i, j = self._left(a.text), self._right(b.text)
-        drop = self._tokens(reversed(a.ids), len(a.text[i:].encode()))
-        skip = self._tokens(iter(b.ids), len(b.text[:j].encode()))
-        middle = self.bpe.encode_ordinary(a.text[i:] + b.text[:j])
-        return Node(a.text + b.text, a.ids[: len(a.ids) - drop] + middle + b.ids[skip:])
-
-    def encode(self, text: str) -> Node:
-        if len(text) <= self.leaf:
-            return Node(text, self.bpe.encode_ordinary(text) if text else [])
-        half = len(text) // 2
-        return self.join(self.encode(text[:half]), self.encode(text[half:]))
+
+    def node(self, text: str, view: str, start: int, end: int) -> Node:
+        if end - start <= self.leaf:
+            return self.scanned(text, view, start, end)
+        half = (start + end) // 2
+        return self.join(text, view, self.node(text, view, start, half), self.node(text, view, half, end))
+
+    def encode(self, text: str) -> list[int]:
+        view = text
+        if not text.isascii() and not self.odd.keys().isdisjoint(text):
+            view = text.translate(self.translated)
+        root = self.node(text, view, 0, len(text))
+        rest = self.scanned(text, view, root.rest, len(text), last=True)
+        return list(chain.from_iterable(root.pieces + rest.pieces))
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self.leaf:
-            return self.bpe.decode_bytes(ids)
+            return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -103,7 +244,7 @@ def _coded(ranks_file: str, pattern: str, with_ids: bool):
         for batch in batches:
             n, ids_sha, decoded_sha, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():
-                ids = tree.encode(text).ids
+                ids = tree.encode(text)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                 decoded_sha.append(hashlib.sha256(tree.decode(ids)).hexdigest())
