@@ -364,7 +364,7 @@ def test_candidates_of_little_support_are_verified():
     a, b = mine.copy(), mine.copy()
     a[10:15], b[45:50] = range(100, 105), range(200, 205)
     found = [(0, 0, 14, other, 0, n, 0, 60) for other, n in ((1, 5), (2, 1), (3, 1))]
-    state = {"doc_id": np.array([9]), "n_words": np.array([64]), "found": found, "at": [(k, 0, 60) for k in range(3)], "tokens": {0: mine}}
+    state = {"doc_id": np.array([9]), "held": [True], "text_md5": [b""], "n_words": np.array([64]), "found": found, "at": [(k, 0, 60) for k in range(3)], "tokens": {0: mine}}
     states = pa.table({"blob": [zstandard.compress(pickle.dumps(state))]})
     replies = pa.table({"blob": [pack({"k": np.arange(3), "size": np.full(3, 60), "tokens": np.concatenate((a, b, a))})]})
     got = compact_windows._judged(states, replies).to_pylist()[0]
@@ -499,3 +499,23 @@ def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 50 not in got and 10 not in got and {0, 4, 12} <= got and not got & {1, 2, 3, 5, 6}
     assert F is not None
+
+
+def test_rows_that_repeat_an_id_are_told_apart_by_their_text(spark):
+    x, y, z = prose(80, 301), prose(90, 302), prose(30, 303)
+    d = spark.createDataFrame([(2, x), (5, x), (5, y), (5, y), (None, z), (None, z), (None, x), (7, None), (8, "")], "doc_id long, text string")
+    kept = simhash.keep_one(d).collect()
+    assert sorted((r[0] is None, r[0] or 0, r[1] or "") for r in kept) == sorted([(False, 2, x), (False, 5, y), (False, 7, ""), (True, 0, x), (True, 0, z), (True, 0, z)])
+    assert simhash.keep_one(d.limit(0)).count() == 0
+    long = prose(60, 305) + " " + x + " " + prose(40, 306)
+    d = spark.createDataFrame([(1, x), (5, "few words"), (5, long), (5, y), (5, long), (-(2**63), y), (None, x), (6, None)], "doc_id long, text string")
+    cut = sorted(map(tuple, compact_windows.cut(d).collect()), key=str)
+    left = prose(60, 305) + "  " + prose(40, 306)
+    assert cut == sorted([(1, x), (5, "few words"), (5, left), (5, left), (-(2**63), y), (None, x), (6, None)], key=str)
+    assert compact_windows.cut(d.limit(0)).count() == 0
+
+
+def test_a_hub_is_a_component(spark):
+    pairs = [(0, k) for k in range(1, 3000)] + [(k, 5000 + k) for k in range(1, 40)] + [(9001, 9000), (None, 3), (4, 4)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {k: 0 for k in (*range(1, 3000), *range(5001, 5040))} | {9001: 9000}

@@ -20,6 +20,7 @@ are compared with the first of them; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
@@ -43,7 +44,6 @@ PASSAGE = 46
 OWN = PASSAGE - math.ceil(2 * SIMILARITY / (1 + SIMILARITY) * PASSAGE - 1e-9)
 #: Tokens of the earlier document, on each side, within which an aligned passage may have shifted.
 SLACK = 8
-NO_ID = -(2**63)
 #: Bytes of text in a run.
 RUN_BYTES = 4_000_000
 _STEPS = [np.uint64(xxhash.xxh64_intdigest(b"place", k) | 1) for k in range(SHINGLE)]
@@ -80,11 +80,14 @@ class Shingles:
     """Tokens of all documents of a run, one behind another, in the order of doc_id."""
 
     def __init__(self, table: pa.Table):
-        ids = [NO_ID if i is None else i for i in table.column("doc_id").to_pylist()]
+        ids = [(i is None, i or 0) for i in table.column("doc_id").to_pylist()]
         raw = [t.encode() for t in table.column("text").to_pylist()]
         order = sorted(range(len(ids)), key=lambda k: (ids[k], raw[k]))
         self.run = table.column("run")[0].as_py()
-        self.doc_id = np.array([ids[k] for k in order], np.int64)
+        self.held = np.array([not ids[k][0] for k in order], bool)
+        self.doc_id = np.array([ids[k][1] for k in order], np.int64)
+        #: Rows that repeat an id are told apart by their text.
+        self.text_md5 = [hashlib.md5(raw[k]).digest() for k in order]
         begins = np.cumsum([0, *(len(raw[k]) + 1 for k in order)])
         starts, w = word_hashes(np.frombuffer(b" ".join(raw[k] for k in order), np.uint8))
         first = np.searchsorted(starts, begins)
@@ -130,7 +133,7 @@ def _rows(rows: list[tuple[int, int, bytes]], *names: str) -> pa.Table:
 
 def _short(s: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct 40-bit tokens of a run's documents with ids, how often each occurs, and the place of every token in them."""
-    held = np.repeat(s.doc_id != NO_ID, s.size)
+    held = np.repeat(s.held, s.size)
     keys, inverse = np.unique(s.tokens >> np.uint64(24), return_inverse=True)
     return keys, np.bincount(inverse[held], minlength=len(keys)), inverse
 
@@ -164,7 +167,7 @@ def windows(s: Shingles, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     """
     n, m = len(s.tokens), len(s.tokens) - PASSAGE + 1
     none = np.zeros(0, np.int64)
-    held = np.flatnonzero((s.doc_id != NO_ID) & (s.size >= PASSAGE))
+    held = np.flatnonzero(s.held & (s.size >= PASSAGE))
     if not len(held):
         return none, none, none, np.zeros(0, np.uint64)
     once = bits < 2
@@ -345,7 +348,7 @@ def _proposed(n_runs: int):
             own = sorted({c[0] for c in found})
             asked, at = merged_ranges(found)
             state = {
-                "doc_id": s.doc_id, "n_words": s.n_words, "found": found, "at": at,
+                "doc_id": s.doc_id, "held": s.held, "text_md5": s.text_md5, "n_words": s.n_words, "found": found, "at": at,
                 "tokens": {d: s.tokens[s.start[d] : s.start[d] + s.size[d]] for d in own},
             }
             rows.append((1, s.run, -1, zstandard.compress(pickle.dumps(state, protocol=5), 3)))
@@ -365,8 +368,8 @@ def _served(table: pa.Table, requests: pa.Table) -> pa.Table:
     if requests.num_rows and table.num_rows:
         s = Shingles(table)
         at: dict[int, int] = {}
-        for k, i in enumerate(s.doc_id.tolist()):
-            at.setdefault(i, k)
+        for k in np.flatnonzero(s.held).tolist():
+            at.setdefault(int(s.doc_id[k]), k)
         for run, blob in zip(requests.column("bucket").to_pylist(), requests.column("blob").to_pylist()):
             r = unpack(blob)
             parts, sizes = [], []
@@ -466,8 +469,8 @@ def repeats(a: np.ndarray, b: np.ndarray) -> bool:
     return similarity(a[p : p + PASSAGE], b[q : q + PASSAGE]) >= SIMILARITY
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64())]))), ("repeats_of", pa.list_(pa.int64()))])
-_RESULT_DDL = "doc_id long, n_words long, spans array<struct<first_word:long,last_word:long>>, repeats_of array<long>"
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64())]))), ("repeats_of", pa.list_(pa.int64())), ("text_md5", pa.binary())])
+_RESULT_DDL = "doc_id long, n_words long, spans array<struct<first_word:long,last_word:long>>, repeats_of array<long>, text_md5 binary"
 
 
 def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
@@ -506,13 +509,13 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
                 joined[-1][1] = max(joined[-1][1], b)
             else:
                 joined.append([a, b])
-        i = int(s["doc_id"][d])
-        rows.append((None if i == NO_ID else i, int(s["n_words"][d]), [{"first_word": a, "last_word": b - 1} for a, b in joined], sorted(sources.get(d, ()))))
+        i = int(s["doc_id"][d]) if s["held"][d] else None
+        rows.append((i, int(s["n_words"][d]), [{"first_word": a, "last_word": b - 1} for a, b in joined], sorted(sources.get(d, ())), s["text_md5"][d]))
     return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RESULT)], schema=_RESULT)
 
 
 def passages(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (words of passages that near-duplicate earlier ones, from 0, last included), repeats_of."""
+    """doc_id, n_words, spans (words of passages that near-duplicate earlier ones, from 0, last included), repeats_of, text_md5."""
     runs, n = in_runs(docs, run_bytes)
     buckets = pieces(n, 2)
     counted = runs.groupBy("run").applyInArrow(_distinct(buckets), _ROWS).groupBy("bucket").applyInArrow(_counted, "run int, bucket int, blob binary")
@@ -557,11 +560,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """docs without the words of near-duplicate passages; a document that loses all its words goes, n_chars follows."""
-    marked = passages(docs).filter("size(spans) > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    marked = marked.dropDuplicates(["_id"])
-    rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_doc"), docs["text"].alias("_text"))
-    joined = rows.join(marked, F.col("_doc") == F.col("_id"), "left").select("_row", F.col("_text").alias("text"), F.col("_spans").alias("spans"))
+    """docs without the words of near-duplicate passages; a document that loses all its words goes, n_chars follows.
+
+    A row is known by its doc_id and text together, so that of rows that repeat an id each loses its own words; rows that
+    repeat both lose the same. Rows without an id, with a null text or without passages stay as they are; so does an empty table.
+    """
+    marked = passages(docs).filter("size(spans) > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("spans").alias("_spans"))
+    marked = marked.dropDuplicates(["_id", "_md5"])
+    rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_doc"), F.unhex(F.md5(docs["text"])).alias("_of"), docs["text"].alias("_text"))
+    joined = rows.join(marked, (F.col("_doc") == F.col("_id")) & (F.col("_of") == F.col("_md5")), "left").select("_row", F.col("_text").alias("text"), F.col("_spans").alias("spans"))
     done = joined.mapInArrow(_cut, joined.schema)
     left = done.filter(F.col("spans").isNull() | (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) != ""))
     names = docs.columns

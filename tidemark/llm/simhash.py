@@ -61,7 +61,7 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+        yield batch.drop_columns(["text"]).append_column("fp", pa.array(fp.view(np.int64), pa.int64()))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -192,12 +192,16 @@ def links(fps: DataFrame) -> DataFrame:
     return shuffled.mapInArrow(_bucket_links, "a long, b long")
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """(fp, first, n, root) for each distinct fingerprint: its smallest doc_id, its rows, the component's smallest fingerprint."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    return nodes.join(components(links(fps)), F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id, n_docs (of the component) for every row of docs."""
     fps = stored(id_and_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    rooted = nodes.join(components(links(fps)), F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted)
+    rooted = stored(_rooted(fps))
     whole = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").cast("long").alias("n_docs"))
     of = rooted.join(whole, "root").select(F.col("fp").alias("_fp"), "component_id", "n_docs")
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -205,12 +209,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the document with the smallest id.
+    """The rows of docs without near-duplicates: one row of each component, with all its columns.
 
-    Of rows that repeat that id one stays. Rows without an id are compared, but stay, as nothing tells them apart.
+    A row is known by its doc_id and text together. The row with the smallest doc_id stays (nulls last; of different texts
+    under one id the one with the smallest digest), and of rows that repeat both id and text any one. Rows without an id are
+    compared, but all of them stay. Null and empty texts are one component; an empty table stays empty.
     """
-    chosen = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_doc"))
-    ided = rows.filter("_doc IS NOT NULL").join(chosen, F.col("_doc") == F.col("_id"), "left_semi")
-    one = ided.dropDuplicates(["_doc"])
-    return one.select("_row.*").unionByName(rows.filter("_doc IS NULL").select("_row.*"))
+    known_by = lambda i, t: F.unhex(F.md5(F.concat(F.coalesce(i.cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(t, F.lit("")))))
+    ided = id_and_text(docs).select("doc_id", known_by(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
+    fps = stored(ided.mapInArrow(_fingerprints, "doc_id long, row_key binary, fp long"))
+    # Equal fingerprints are folded before they meet their component.
+    order = lambda: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    heads = fps.groupBy("fp").agg(F.min(order()).alias("head"))
+    of = _rooted(fps).select(F.col("fp").alias("_fp"), "root")
+    chosen = heads.join(of, F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row_key").alias("_kept"))
+    rows = docs.select(F.struct("*").alias("_row"), known_by(docs["doc_id"], docs["text"]).alias("_key"))
+    ided = rows.filter("_row.doc_id IS NOT NULL").join(chosen, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"])
+    return ided.select("_row.*").unionByName(rows.filter("_row.doc_id IS NULL").select("_row.*"))
