@@ -47,7 +47,7 @@ def bucket_bounds(keys: np.ndarray, n: int) -> np.ndarray:
 
 Asked = tuple[np.ndarray, dict[str, np.ndarray]]
 
-_ASK = "bucket int, run int, keys binary, cols binary"
+_ASK = "bucket int, run int, cols binary"
 _ANSWER = "run int, bucket int, answer binary"
 
 
@@ -87,13 +87,12 @@ def ask(runs: DataFrame, n_buckets: int, keys_of: Callable[[pa.Table], Asked], f
         return pa.table({
             "bucket": pa.array([b for b, _, _ in rows], pa.int32()),
             "run": pa.array([run] * len(rows), pa.int32()),
-            "keys": pa.array([keys[s:e].tobytes() for _, s, e in rows], pa.binary()),
-            "cols": pa.array([pack({k: v[s:e] for k, v in columns.items()}) for _, s, e in rows], pa.binary()),
+            "cols": pa.array([pack({"step": np.diff(keys[s:e], prepend=np.uint64(0))} | {k: v[s:e] for k, v in columns.items()}) for _, s, e in rows], pa.binary()),
         })
 
     def back(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         columns = [unpack(x) for x in table.column("cols").to_pylist()]
+        keys = [np.cumsum(c.pop("step"), dtype=np.uint64) for c in columns]
         distinct, at_first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         once = np.zeros(len(inverse), bool)
         once[at_first] = True

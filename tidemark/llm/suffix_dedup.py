@@ -76,11 +76,12 @@ class Run:
         self.none = np.array([ids[k][0] for k in order], bool)
         self.doc_id = np.array([ids[k][1] for k in order], np.int64)
         self.text = [raw[k] for k in order]
+        # Rows that repeat an id are in one run, so their number there orders them; rows without an id are spread by their text.
         copy = np.zeros(len(order), np.int64)
         for k in range(1, len(order)):
             a, b = order[k - 1], order[k]
-            copy[k] = copy[k - 1] + 1 if (ids[a], tie[a]) == (ids[b], tie[b]) else 0
-        self.tie = np.array([tie[k] for k in order], np.int64) * 2**15 + np.minimum(copy, 2**15 - 1)
+            copy[k] = copy[k - 1] + 1 if ids[a] == ids[b] and (not ids[a][0] or tie[a] == tie[b]) else 0
+        self.tie = np.where(self.none, np.array([tie[k] for k in order], np.int64) * 2**15, 0) + np.where(self.none, np.minimum(copy, 2**15 - 1), copy)
         self.buffer = np.frombuffer(EDGE.join(self.text) + EDGE, np.uint8)
         lengths = np.array([len(t) for t in self.text], np.int64)
         self.start = np.cumsum(lengths + 1) - lengths - 1
@@ -97,9 +98,14 @@ class Run:
         return at, mixed(h[at])
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """48 bits of the keys: enough to drop nearly all grams that occur once; grams that agree in them count as one."""
+    return h >> np.uint64(16) << np.uint64(16)
+
+
 def _grams(table: pa.Table):
     _, h = Run(table).anchors()
-    keys, n = np.unique(h, return_counts=True)
+    keys, n = np.unique(_short(h), return_counts=True)
     return keys, {"n": n.astype(np.uint32)}
 
 
@@ -212,7 +218,7 @@ def _suffixes(n_buckets: int):
         rows: list[tuple[int, int, int, bytes]] = []
         members: list[np.ndarray] = []
         sole: list[int] = []
-        again = answers(replies)["again"][np.searchsorted(np.unique(h), h)] if len(at) else np.zeros(0, np.uint8)
+        again = answers(replies)["again"][np.unique(_short(h), return_inverse=True)[1]] if len(at) else np.zeros(0, np.uint8)
         at, h, again = at[again > 0], h[again > 0], again[again > 0]
         doc = doc_of(docs, at)
         low, high = np.maximum(docs.start[doc], at - BEFORE), np.minimum(docs.end[doc], at + LENGTH)
