@@ -145,8 +145,40 @@ def test_decontamination_against_full_alignment(spark, empty):
         assert got[i] == sorted(want), i
     kept = decontamination.clean(docs, bench)
     assert kept.columns == ["doc_id", "text"] and {x["doc_id"] for x in kept.collect()} == {i for i, x in got.items() if not x}
-    assert decontamination.decontamination(empty, bench).count() == 0
+    assert decontamination.decontamination(empty, bench).count() == 0 and decontamination.clean(empty, bench).columns == empty.columns
     assert decontamination.decontamination(docs, bench.limit(0)).filter("contaminated").count() == 0
+    # In several blocks, with repeated rows and clashing names.
+    twice = docs.unionByName(docs).withColumn("item_ids", F.lit("x")).withColumn("_text", F.lit(1)).withColumn("_row", F.lit(2))
+    blocks = decontamination.with_leaks(twice, bench, block=150).collect()
+    assert len(blocks) == 2 * len(cases) and all(x["item_ids"] == got[x["_row"]["doc_id"]] for x in blocks)
+    assert decontamination.clean(twice, bench).columns == twice.columns
+
+
+def test_banded_alignment_against_the_full_table():
+    import numpy as np
+
+    r = random.Random(21)
+    docs, bench = [], [(k, "".join(r.choice("abc é日") for _ in range(r.randint(10, 120)))) for k in range(60)]
+    template = prose(25, 40)
+    bench += [(100 + k, f"{template} {k}{'x' * (k % 5)}") for k in range(20)]
+    for k in range(120):
+        t = list(r.choice(bench)[1])
+        for _ in range(r.randint(0, 12)):
+            p = r.randrange(len(t))
+            t[p : p + r.randint(0, 1)] = r.choice(["", "q", "日"])
+        docs.append(prose(r.randint(0, 9), k) + " " + "".join(t) + " " + prose(r.randint(0, 9), -k))
+    items = decontamination.Items(bench)
+    found = items.find([decontamination.folded(t) for t in docs])
+    for t, got in zip(docs, found):
+        f = decontamination.folded(t)
+        assert got == {k for k, x in enumerate(items.texts) if edit(x, f) <= decontamination.budget(len(x))}
+    small, decontamination.PIECE = decontamination.PIECE, 50
+    try:
+        assert items.find([decontamination.folded(t) for t in docs]) == found
+    finally:
+        decontamination.PIECE = small
+    long = decontamination.points("ab" * 700_000 + docs[0])
+    assert len(decontamination._grams(long)) == len(long) - decontamination.Q + 1 and len(np.unique(decontamination._grams(long[:1000]))) == 2
 
 
 def test_simhash_components_against_all_pairs(docs, empty):
