@@ -101,6 +101,11 @@ def test_hash_tree_moves_only_where_weights_change(docs, empty):
         raw = (text[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw)) and r["grown_shard"] in (r["shard"], 24)
     tree = sharding.tree_of(24)
+    for r in got:
+        key = "null" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (sharding.place(tree, key), sharding.place(tree.grow(24), key))
+    few = sharding.shards(docs, 5).collect()
+    assert all(r["shard"] == sharding.place(sharding.tree_of(5), str(r["doc_id"])) for r in few)
     keys = [str(k) for k in range(6000)]
     load = Counter(sharding.place(tree, k) for k in keys)
     assert len(load) == 24 and min(load.values()) > 150 and max(load.values()) < 350

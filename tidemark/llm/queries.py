@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_rule_ledger": quality_rules.ORACLE_SQL}
+    return {"op2_weighted_hash_tree": sharding.ORACLE_SQL, "op6_rule_ledger": quality_rules.ORACLE_SQL}
