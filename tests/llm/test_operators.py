@@ -475,6 +475,9 @@ def test_bpe_tree_joins_in_any_order():
         left, right = tree.join(s, s, tree.join(s, s, a, b), c), tree.join(s, s, a, tree.join(s, s, b, c))
         done = [n.pieces + tree.scanned(s, s, n.rest, len(s), last=True).pieces for n in (left, right)]
         assert done[0] == done[1] == [tree.ids_of(m) for m in tree.pattern.findall(s)]
+    words = {''.join(r.choice('abcdeé  日xyz') for _ in range(r.randint(1, 20))).encode() for _ in range(3000)}
+    words = [w for w in words if len(w) <= bpe_tree.SHORT and w not in tree.ranks]
+    assert tree.merge_all(words) == [tree.merged(w) for w in words] and tree.merge_all([]) == []
 
 
 def test_markov_model_counts_and_adds_up(docs, empty):
