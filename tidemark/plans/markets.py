@@ -14,29 +14,111 @@ def _read(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-_ENT = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains(['a','an','and','be','by','for','in','is','of','on','or','the','to','will'], t) AND NOT regexp_matches(t, '^[0-9]+$')))"
+def _words_sql(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query(f"""WITH x AS (SELECT p_partkey AS id, {_ENT.format(c="p_name || ' ' || p_brand")} AS t FROM part), a AS (SELECT * FROM x WHERE id % 10 = 0), b AS (SELECT * FROM x WHERE id % 10 = 1)
-SELECT a.id AS a_id, b.id AS b_id, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 9) AS overlap FROM a, b WHERE len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0)::DOUBLE >= 0.45""")
+_ENT = f"list_distinct(list_filter(regexp_extract_all(lower({{c}}), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({_words_sql(T.STOP_WORDS + T.NO_ENTITY)}, t) AND NOT regexp_matches(t, '^[0-9]+$')))"
+
+
+def _jac(a: str, b: str) -> str:
+    return f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE END"
+
+
+def _customers(spark, sf):
+    """Customers as token sets: country, market segment and the digits of the name in groups of three."""
+    c = _read(spark, sf, "customer").join(_read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    parts = [F.lower("c_mktsegment"), F.concat(F.lit("n"), "n_nationkey"), *(F.concat(F.lit(p), F.substring("c_name", -k, n)) for p, k, n in (("x", 3, 3), ("y", 6, 3), ("z", 2, 2), ("w", 1, 1)))]
+    return c.select(F.col("c_custkey").alias("id"), F.array_distinct(F.array(*parts)).alias("tokens"))
+
+
+_CUSTOMERS = """x AS (SELECT c_custkey AS id, list_sort(list_distinct([lower(c_mktsegment), 'n' || n_nationkey, 'x' || substr(c_name, -3, 3), 'y' || substr(c_name, -6, 3), 'z' || substr(c_name, -2, 2), 'w' || substr(c_name, -1, 1)])) AS t
+FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query(f"""WITH {_CUSTOMERS}, e AS (SELECT a.id AS a_id, b.id AS b_id, {_jac("a.t", "b.t")} AS overlap FROM x a JOIN x b ON a.id < b.id AND len(list_intersect(a.t, b.t)) >= 3)
+SELECT a_id, b_id, round(overlap, 9) AS overlap FROM e WHERE overlap >= 0.7""")
 def token_overlap_join(spark, sf):
+    """Every pair of customers whose token sets overlap by 0.7: common tokens build no pairs, rare ones do."""
+    x = _customers(spark, sf)
+    return M.overlapping(x, x, 0.7).filter("a_id < b_id").withColumn("overlap", F.round("overlap", 9))
+
+
+@query(f"""WITH x AS (SELECT p_partkey AS id, list_sort({_ENT.format(c="p_name || ' ' || p_brand")}) AS t FROM part), r AS (SELECT t, min(id) AS id, count(*) AS n FROM x GROUP BY t)
+SELECT a.id AS a_id, b.id AS b_id, a.n AS a_rows, b.n AS b_rows, round({_jac("a.t", "b.t")}, 9) AS overlap FROM r a JOIN r b ON a.id < b.id WHERE {_jac("a.t", "b.t")} >= 0.45""")
+def token_class_overlap(spark, sf):
+    """Parts of equal token sets are one class; the pairs are those of the classes, with how many rows each has."""
     x = _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.entities(F.concat_ws(" ", "p_name", "p_brand")).alias("tokens"))
-    return M.overlapping(x.filter("id % 10 = 0"), x.filter("id % 10 = 1"), 0.45).withColumn("overlap", F.round("overlap", 9))
+    classes = M.token_classes(x).groupBy(F.col("class_id").alias("id")).agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
+    pairs = M.overlapping(classes, classes, 0.45).filter("a_id < b_id").withColumn("overlap", F.round("overlap", 9))
+    rows = lambda p: classes.select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_rows"))
+    return pairs.join(rows("a"), "a_id").join(rows("b"), "b_id").select("a_id", "b_id", "a_rows", "b_rows", "overlap")
+
+
+def _questions(spark, sf):
+    """One market for each order of the two sides: texts, closing times and labels that the rules tell apart."""
+    o = _read(spark, sf, "orders").join(_read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    month = F.date_format("o_orderdate", "MMMM")
+    place = F.element_at(F.array(F.lit("Canada"), F.lit("Japan"), F.lit("somewhere")), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.concat_ws(" ", F.lit("Will"), "c_name", F.when(F.col("o_orderkey") % 5 == 0, "not"), F.lit("ship"), F.lower("c_mktsegment"), F.lit("in"), month, F.year("o_orderdate").cast("string")).alias("question"),
+        F.concat_ws(" ", F.lit("Resolves by the register of"), place, F.lower("o_orderpriority")).alias("rules"), F.col("o_orderdate").cast("timestamp").alias("close_time"),
+        F.when(F.col("o_orderkey") % 7 == 0, "Shipped").otherwise("Yes").alias("yes_label"), F.when(F.col("o_orderkey") % 7 == 0, "Kept").otherwise("No").alias("no_label"), "o_custkey",
+    )
+
+
+def _rx(c: str, pattern: str) -> str:
+    return f"list_distinct(regexp_extract_all({c}, '{pattern}', 1))"
+
+
+_SETS = rf"""s AS (SELECT *, {_rx("w", rf"\b({T.YEARS})\b")} AS y, {_rx("w", rf"\b({T.MONTHS})\b")} AS mo, list_distinct(list_intersect(string_split(w, ' '), {_words_sql(T.PLACES)})) AS pl,
+ list_filter(list_distinct(string_split(rules, ' ')), lambda t: t <> '' AND NOT list_contains({_words_sql(T.STOP_WORDS)}, t)) AS rw,
+ list_sort(list_distinct(list_filter(string_split(question, ' '), lambda t: regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(t, '^{T.YEARS}$')))) AS nu, regexp_matches(question, '\b(?:{T.NEGATION})\b') AS ne
+ FROM (SELECT *, question || ' ' || rules AS w FROM n)),
+d AS (SELECT *, list_distinct(list_concat(y, mo)) AS da FROM s)"""
+
+
+def _compat(c: str) -> str:
+    return f"CASE WHEN len(a.{c}) = 0 AND len(b.{c}) = 0 THEN 0.75 WHEN len(a.{c}) = 0 OR len(b.{c}) = 0 THEN 0.5 ELSE {_jac(f'a.{c}', f'b.{c}')} END"
+
+
+def _clash(c: str) -> str:
+    return f"(len(a.{c}) > 0 AND len(b.{c}) > 0 AND len(list_intersect(a.{c}, b.{c})) = 0)"
+
+
+@query(rf"""WITH q AS (SELECT o_orderkey AS id, o_custkey, 'Will ' || c_name || CASE WHEN o_orderkey % 5 = 0 THEN ' not' ELSE '' END || ' ship ' || lower(c_mktsegment) || ' in ' || strftime(o_orderdate, '%B') || ' ' || year(o_orderdate) AS question,
+ 'Resolves by the register of ' || (['Canada', 'Japan', 'somewhere'])[c_nationkey % 3 + 1] || ' ' || lower(o_orderpriority) AS rules, o_orderdate AS close_time, CASE WHEN o_orderkey % 7 = 0 THEN 'shipped' ELSE 'yes' END AS yes_label FROM orders JOIN customer ON o_custkey = c_custkey),
+n AS (SELECT id, o_custkey, close_time, yes_label, array_to_string(regexp_extract_all(lower(question), '[a-z0-9]+'), ' ') AS question, array_to_string(regexp_extract_all(lower(rules), '[a-z0-9]+'), ' ') AS rules FROM q),
+{_SETS}
+SELECT a.id AS a_id, b.id AS b_id, round({_jac("a.rw", "b.rw")}, 6) AS rule_similarity, round({_compat("da")}, 9) AS date_compatibility, round({_compat("pl")}, 9) AS location_compatibility,
+ round(abs(epoch_us(a.close_time) - epoch_us(b.close_time)) / 3.6e9, 6) AS close_delta_hours, {_clash("y")} OR {_clash("mo")} OR {_clash("da")} AS dates_conflict, {_clash("pl")} AS places_conflict,
+ len(a.nu) > 0 AND len(b.nu) > 0 AND a.nu <> b.nu AS numbers_conflict, a.yes_label = 'yes' AND b.yes_label = 'yes' AS generic_labels, a.ne <> b.ne AS polarity_differs
+FROM d a JOIN d b ON a.o_custkey = b.o_custkey AND a.id < b.id""")
+def match_evidence(spark, sf):
+    """All rules of matching but the text ratio, over every pair of orders of a customer."""
+    m = _questions(spark, sf)
+    key = lambda p: m.select(F.col("id").alias(f"{p}_id"), "o_custkey")
+    pairs = key("a").join(key("b"), "o_custkey").filter("a_id < b_id").select("a_id", "b_id", F.lit(1.0).alias("overlap"))
+    x = M.prepared(m)
+    return M.evidence(pairs, x, x).select("a_id", "b_id", "rule_similarity", F.round("date_compatibility", 9).alias("date_compatibility"), F.round("location_compatibility", 9).alias("location_compatibility"), F.round("close_delta_hours", 6).alias("close_delta_hours"), "dates_conflict", "places_conflict", "numbers_conflict", "generic_labels", "polarity_differs")
 
 
 @query()
 def fuzzy_candidates(spark, sf):
-    """Text similarity needs Python, so this one has no SQL; tests hold it against a nested loop."""
-    m = _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("question"), F.concat_ws(" ", "p_type", "p_brand").alias("rules"), F.timestamp_seconds(1_704_067_200 + F.col("p_size") * 7200).alias("close_time"))
+    """The text ratio needs Python, so this one has no SQL; tests hold it against a nested loop, and match_evidence has the rest."""
+    m = _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("question"), F.concat_ws(" ", "p_type", "p_brand").alias("rules"), F.timestamp_seconds(1_704_067_200 + F.col("p_size") * 7200).alias("close_time"), F.lit("Yes").alias("yes_label"), F.lit("No").alias("no_label"))
     return M.chosen(M.assessed(m.filter("id % 2 = 0"), m.filter("id % 2 = 1")))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS a_id, l_partkey AS b_id, max(round(l_discount * 10, 6)) AS confidence FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2),
+_BEST = """WITH s AS (SELECT l_orderkey AS a_id, l_partkey AS b_id, max(round(l_discount * 10, 6)) AS confidence FROM lineitem GROUP BY 1, 2),
 w AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY confidence DESC, b_id) AS rn, lead(confidence) OVER (PARTITION BY a_id ORDER BY confidence DESC, b_id) AS nx FROM s),
 b AS (SELECT *, coalesce(round(confidence - nx, 9) <= 0.04, false) AS ambiguous FROM w WHERE rn = 1)
-SELECT a_id, b_id, confidence, ambiguous, n_losers FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY confidence DESC, a_id) AS rb, count(*) OVER (PARTITION BY b_id) - 1 AS n_losers FROM b) WHERE rb = 1""")
+SELECT a_id, b_id, confidence, ambiguous, n_losers FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY confidence DESC, a_id) AS rb, count(*) OVER (PARTITION BY b_id) - 1 AS n_losers FROM b) WHERE rb = 1"""
+
+
+@query(_BEST)
 def best_match(spark, sf):
-    s = _read(spark, sf, "lineitem").filter("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("a_id"), F.col("l_partkey").alias("b_id")).agg(F.max(F.round(F.col("l_discount") * 10, 6)).alias("confidence"))
+    s = _read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("a_id"), F.col("l_partkey").alias("b_id")).agg(F.max(F.round(F.col("l_discount") * 10, 6)).alias("confidence"))
     return M.chosen(s)
 
 
@@ -87,12 +169,16 @@ def registry_universe(spark, sf):
     return G.universe(G.edge_pairs(_pairs(spark, sf)))
 
 
-@query("""WITH o AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0), n AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0)
+@query("""WITH h AS (SELECT user_id, event_type, floor(value / 10)::BIGINT AS band, epoch_us(ts) > (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) / 2 FROM events) AS late FROM events),
+o AS (SELECT DISTINCT user_id, event_type, band FROM h WHERE NOT late), n AS (SELECT DISTINCT user_id, event_type, band FROM h WHERE late)
 SELECT *, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'retired' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
 def universe_diff(spark, sf):
-    e = _read(spark, sf, "events")
-    of = lambda k: e.filter(F.col("event_id") % k == 0).select("user_id", "event_type").distinct()
-    return G.changed(of(2), of(3))
+    """The first half of the time against the second: two snapshots that together read all events."""
+    e = _read(spark, sf, "events").select("user_id", "event_type", F.floor(F.col("value") / 10).alias("band"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    middle = e.agg(((F.min("t") + F.max("t")) / 2).alias("middle"))
+    h = e.crossJoin(F.broadcast(middle)).withColumn("late", F.col("t") > F.col("middle"))  # one row
+    of = lambda late: h.filter(F.col("late") == late).select("user_id", "event_type", "band").distinct()
+    return G.changed(of(False), of(True))
 
 
 @query("""SELECT c_custkey, source FROM (SELECT c_custkey, source, row_number() OVER (PARTITION BY c_custkey ORDER BY p) AS rn FROM (SELECT c_custkey, 'a' AS source, 0 AS p FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'b', 1 FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'c', 2 FROM customer)) WHERE rn = 1""")
@@ -118,10 +204,32 @@ def normal_text(spark, sf):
     return p.select("p_partkey", F.array_join(F.array_sort(F.array_distinct(T.tokens(F.concat_ws(" ", "p_name", "p_brand")))), " ").alias("tokens"), F.sha2(F.trim(F.regexp_replace(F.concat_ws("  ", "p_name", "p_type"), r"\s+", " ")), 256).alias("digest"))
 
 
-@query(r"SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\b(api[_-]?key|token|secret|password)(\s*[=:]\s*)\S+', '\1\2[redacted]', 'g'), '\b[0-9a-fA-F]{32,}\b', '[redacted]', 'g')) AS digest FROM conversations")
+def _redacted_sql(text: str) -> str:
+    """The rules without lookaround, which DuckDB's patterns lack: a first character that is no bracket stands for "not done yet"."""
+    names = "|".join(T.SECRET_NAMES)
+    for pattern, put in (
+        (r"(?s)-----BEGIN[^-]{0,64}-----.*?-----END[^-]{0,64}-----", T.REDACTED), (r"\beyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}", T.REDACTED),
+        (r"(?im)^([ \t]*(?:set-)?cookie\s*:\s*).+$", rf"\1{T.REDACTED}"), (r"(?i)\b([A-Z0-9]+-ACCESS-(?:KEY|SIGNATURE)\s*[:=]\s*)(\S+)", rf"\1{T.REDACTED}"),
+        (r"(?i)\b(authorization\s*[:=]\s*(?:(?:bearer|basic|token|digest)\s+)?)[^\s\[]\S*", rf"\1{T.REDACTED}"),
+        (rf"""(?i)(["'']?[A-Za-z0-9_.\-]*(?:{names})[A-Za-z0-9_.\-]*["'']?\s*[:=]\s*["'']?)[^\s"'',;}}\]\[][^\s"'',;}}\]]*""", rf"\1{T.REDACTED}"),
+        (r"\b[A-Za-z0-9+/]{40,}={1,2}", T.REDACTED),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return text
+
+
+_MAIL = """(SELECT conv_id, turn, coalesce(text, '') || ' | Authorization: Bearer abc' || conv_id || ' | api_secret: s3cr3t-' || turn || ' | "password": "p' || conv_id || '"' || chr(10) || 'cookie: sid=' || conv_id || chr(10) || '0x' || repeat('ab', 20) || ' ' || repeat('7', 77) AS t FROM conversations)"""
+
+
+@query(f"SELECT conv_id, turn, sha256({_redacted_sql('t')}) AS digest FROM {_MAIL}")
 def redaction(spark, sf):
+    """Whole conversations, each with credentials of every rule and with public ids that must stay."""
     c = _read(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.sha2(T.redacted(F.coalesce("text", F.lit(""))), 256).alias("digest"))
+    text = F.concat(
+        F.coalesce("text", F.lit("")), F.lit(" | Authorization: Bearer abc"), F.col("conv_id").cast("string"), F.lit(" | api_secret: s3cr3t-"), F.col("turn").cast("string"), F.lit(' | "password": "p'), F.col("conv_id").cast("string"),
+        F.lit('"\ncookie: sid='), F.col("conv_id").cast("string"), F.lit("\n0x" + "ab" * 20 + " " + "7" * 77),
+    )
+    return c.select("conv_id", "turn", F.sha2(T.redacted(text), 256).alias("digest"))
 
 
 @query("SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
