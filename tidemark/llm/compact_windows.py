@@ -383,9 +383,20 @@ def _served(table: pa.Table, requests: pa.Table) -> pa.Table:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+    x, y = set(a.tolist()), set(b.tolist())
+    both = len(x & y)
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _among(a: np.ndarray, b: set[int]) -> np.ndarray:
+    """Which of a are in b: passages are short, so sets beat sorting."""
+    return np.fromiter(map(b.__contains__, a.tolist()), bool, len(a))
+
+
+def _sums(flags: np.ndarray) -> np.ndarray:
+    """Of each PASSAGE flags."""
+    c = np.concatenate((np.zeros(1, np.int64), np.cumsum(flags)))
+    return c[PASSAGE:] - c[:-PASSAGE]
 
 
 def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: int) -> list[tuple[int, int]]:
@@ -399,8 +410,9 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
     if not len(other):
         return []  # a passage at the start of its own document has nothing before it
     own = mine[begin:end]
-    held = np.unique(other)
-    shared = held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own
+    if align >= 0 and np.array_equal(own, other[align : align + len(own)]):
+        return [(begin, end)]  # word for word
+    shared = _among(own, set(other.tolist()))
     lo, hi = max(0, -align), min(len(own), len(other) - align)
     if hi - lo >= PASSAGE:
         same = np.flatnonzero(own[lo:hi] == other[align + lo : align + hi])
@@ -436,12 +448,12 @@ def verified(mine: np.ndarray, begin: int, end: int, other: np.ndarray, align: i
         if q >= p and similarity(own[i:j], other[p : q + 1]) >= SIMILARITY:
             return [(begin + i, begin + j)]
         # Or all of `other` that shares something: words that come round again have no one place.
-        met = np.flatnonzero(np.isin(other, own[i:j]))
+        met = np.flatnonzero(_among(other, set(own[i:j].tolist())))
         return [(begin + i, begin + j)] if similarity(own[i:j], other[met[0] : met[-1] + 1]) >= SIMILARITY else []
 
     if out := trimmed(0, len(own)):
         return out
-    share = np.convolve(shared, np.ones(PASSAGE), "valid") >= 2 * SIMILARITY / (1 + SIMILARITY) * PASSAGE - 1e-9
+    share = _sums(shared) >= 2 * SIMILARITY / (1 + SIMILARITY) * PASSAGE - 1e-9
     edges = np.flatnonzero(np.diff(np.r_[False, share, False].astype(np.int8)))
     out = []
     for i, j in zip(edges[::2].tolist(), (edges[1::2] + PASSAGE - 1).tolist()):
@@ -460,8 +472,10 @@ def repeats(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether a passage of PASSAGE tokens of `a` near-duplicates one of `b`: the one that shares most, where it stands."""
     if min(len(a), len(b)) < PASSAGE:
         return False
-    shared = np.isin(a, b)
-    p = int(np.argmax(np.convolve(shared, np.ones(PASSAGE), "valid")))
+    if np.array_equal(a, b):
+        return True
+    shared = _among(a, set(b.tolist()))
+    p = int(np.argmax(_sums(shared)))
     if shared[p : p + PASSAGE].sum() < SIMILARITY * PASSAGE:
         return False
     k = p + int(np.argmax(shared[p : p + PASSAGE]))
@@ -486,6 +500,7 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
     spans: dict[int, set[tuple[int, int]]] = {}
     sources: dict[int, set[int]] = {}
     linked: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    covered = {d: np.zeros(len(t), bool) for d, t in s["tokens"].items()}
     for k, (d, first, last, other, shift, _, low, _) in enumerate(s["found"]):
         row, begin, end = s["at"][k]
         theirs = got[row][begin:end] if row in got else ()
@@ -493,14 +508,21 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
             continue
         if other == int(s["doc_id"][d]):  # inside a document: only what lies before the passage
             theirs = theirs[: max(0, first - low)]
+        heads, known, all_told = linked.setdefault(d, []), sources.setdefault(d, set()), bool(covered[d][first : last + PASSAGE].all())
+        # A document that repeats a linked one here is linked to it by itself. Where all tokens are told already and no
+        # link can come, verifying could not change anything.
+        represented = other in known
+        if all_told:
+            represented = represented or any(x <= last and first <= y and repeats(theirs, there) for x, y, there in heads)
+            if represented:
+                continue
         found = verified(s["tokens"][d], first, last + PASSAGE, theirs, first + shift - low)
         spans.setdefault(d, set()).update((a, b + SHINGLE - 1) for a, b in found)
-        if found and other not in sources.setdefault(d, set()):
-            # A document that repeats a linked one here is linked to it by itself.
-            heads = linked.setdefault(d, [])
-            if not any(x <= last and first <= y and repeats(theirs, there) for x, y, there in heads):
-                sources[d].add(other)
-                heads.append((first, last, theirs))
+        for a, b in found:
+            covered[d][a:b] = True
+        if found and other not in known and (all_told or not any(x <= last and first <= y and repeats(theirs, there) for x, y, there in heads)):
+            known.add(other)
+            heads.append((first, last, theirs))
     rows = []
     for d in range(len(s["doc_id"])):
         joined: list[list[int]] = []
