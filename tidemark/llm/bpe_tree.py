@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import id_and_text
+from tidemark.llm.common import id_and_text, lean_batches
 
 #: Characters in a leaf of the tree, and ids in a leaf of decoding.
 LEAF = 1024
@@ -404,4 +404,4 @@ def _coded(ranks_file: str, pattern: str, with_ids: bool):
 def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids; ranks_file is a path every executor can open."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return id_and_text(docs).mapInArrow(_coded(ranks_file, pattern, with_ids), schema)
+    return id_and_text(docs).mapInArrow(lean_batches(_coded(ranks_file, pattern, with_ids)), schema)

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, stored
+from tidemark.llm.common import lean, lean_batches, pieces, stored
 from tidemark.llm.components import components
 from tidemark.llm.runs import _sliding, bucket_bounds, in_runs, mixed, pack, unpack, with_answers
 
@@ -540,8 +540,8 @@ def passages(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """doc_id, n_words, spans (words of passages that near-duplicate earlier ones, from 0, last included), repeats_of, text_md5."""
     runs, n = in_runs(docs, run_bytes)
     buckets = pieces(n, 2)
-    counted = runs.groupBy("run").applyInArrow(_distinct(buckets), _ROWS).groupBy("bucket").applyInArrow(_counted, "run int, bucket int, blob binary")
-    replies = with_answers(runs, counted, _windows(buckets), _ROWS).groupBy("bucket").applyInArrow(_met, "run int, bucket int, blob binary")
+    counted = runs.groupBy("run").applyInArrow(lean(_distinct(buckets)), _ROWS).groupBy("bucket").applyInArrow(lean(_counted), "run int, bucket int, blob binary")
+    replies = with_answers(runs, counted, _windows(buckets), _ROWS).groupBy("bucket").applyInArrow(lean(_met), "run int, bucket int, blob binary")
     work = stored(with_answers(runs, replies, _proposed(n), _WORK), "kind")
     requests = work.filter("kind = 0").select("run", "bucket", "blob")
     served = with_answers(runs, requests, _served, "run int, bucket int, blob binary")
@@ -591,7 +591,7 @@ def cut(docs: DataFrame) -> DataFrame:
     marked = marked.dropDuplicates(["_id", "_md5"])
     rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_doc"), F.unhex(F.md5(docs["text"])).alias("_of"), docs["text"].alias("_text"))
     joined = rows.join(marked, (F.col("_doc") == F.col("_id")) & (F.col("_of") == F.col("_md5")), "left").select("_row", F.col("_text").alias("text"), F.col("_spans").alias("spans"))
-    done = joined.mapInArrow(_cut, joined.schema)
+    done = joined.mapInArrow(lean_batches(_cut), joined.schema)
     left = done.filter(F.col("spans").isNull() | (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) != ""))
     names = docs.columns
     columns = [F.col("text") if c == "text" else F.when(F.col("spans").isNull(), F.col("_row.n_chars")).otherwise(F.length("text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in names]

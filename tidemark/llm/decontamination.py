@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, stored
+from tidemark.llm.common import lean_batches, pieces, stored
 
 Q = 10
 EDITS = 0.08
@@ -231,7 +231,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])  # a block: half of BLOCK on average
-        rows = rows.mapInArrow(_leaks(held), rows.schema)
+        rows = rows.mapInArrow(lean_batches(_leaks(held)), rows.schema)
         if b + 1 < blocks:
             rows = stored(rows)
     return rows.select("_row", "item_ids")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, stored
+from tidemark.llm.common import lean, lean_batches, pieces, stored
 from tidemark.llm.runs import RUN_BYTES, answers, ask, in_runs, unpack, with_answers
 
 STATES, CLASSES, ROUNDS, SEED = 8, 4096, 4, 7
@@ -237,7 +237,7 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, run_byte
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     runs, n = in_runs(docs, run_bytes, held_out(F.col("doc_id")).alias("held_out"))
     replies = stored(ask(runs, pieces(n, 2), _counts, _totals, mark_once=True))
-    by_class = replies.groupBy("bucket").applyInArrow(_reported, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    by_class = replies.groupBy("bucket").applyInArrow(lean(_reported), "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     mass, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in by_class.collect():  # at most CLASSES rows
         mass[r["c"]], types[r["c"]] = r["n"], r["v"]
@@ -247,8 +247,8 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, run_byte
     model = Model.first(weight, states)
     train = encoded.filter("NOT held_out").select("classes")
     for _ in range(rounds if total else 0):
-        parts = train.mapInArrow(_expected(model), "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary")
+        parts = train.mapInArrow(lean_batches(_expected(model)), "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary")
         got = sorted((r["slice"], bytes(r["counts"])) for r in parts.collect())  # SLICES rows
         model = Model.of_counts(np.concatenate([np.frombuffer(c) for _, c in got]), weight, states)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "inside", "classes").mapInArrow(_scores(model, total), schema)
+    return encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "inside", "classes").mapInArrow(lean_batches(_scores(model, total)), schema)

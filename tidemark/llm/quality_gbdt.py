@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text
+from tidemark.llm.common import id_and_text, lean_batches
 
 #: Labelled rows that the fit may hold.
 SAMPLE = 20_000
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
     chosen = ids.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` pairs of numbers: small enough to send to every executor.
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(_described, "y int, x array<double>")
+    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(lean_batches(_described), "y int, x array<double>")
     got = rows.toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
     y = got.column("y").to_numpy().astype(float)
@@ -177,7 +177,7 @@ def _scored(model: Trees):
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:
     rows = id_and_text(docs).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean_batches(_scored(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, pieces, text_bytes
+from tidemark.llm.common import id_and_text, lean, pieces, text_bytes
 
 RUN_BYTES = 8_000_000
 
@@ -106,7 +106,7 @@ def ask(runs: DataFrame, n_buckets: int, keys_of: Callable[[pa.Table], Asked], f
             at += len(k)
         return pa.table({"run": table.column("run"), "bucket": table.column("bucket"), "answer": pa.array(told, pa.binary())})
 
-    return runs.groupBy("run").applyInArrow(out, _ASK).groupBy("bucket").applyInArrow(back, _ANSWER)
+    return runs.groupBy("run").applyInArrow(lean(out), _ASK).groupBy("bucket").applyInArrow(lean(back), _ANSWER)
 
 
 def answers(table: pa.Table) -> dict[str, np.ndarray]:
@@ -117,7 +117,7 @@ def answers(table: pa.Table) -> dict[str, np.ndarray]:
 
 def with_answers(runs: DataFrame, replies: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """f(documents of a run, rows of replies for it), for every run."""
-    return runs.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(f, schema)
+    return runs.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(lean(f), schema)
 
 
 def _sliding(best: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, w: int) -> np.ndarray:

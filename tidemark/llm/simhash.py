@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, stored
+from tidemark.llm.common import id_and_text, lean_batches, stored
 from tidemark.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -189,7 +189,7 @@ def links(fps: DataFrame) -> DataFrame:
     """(a, b): links among distinct fingerprints that connect what any chain of links connects."""
     dealt = _dealt(_keys(fps.select("fp").distinct()))
     shuffled = dealt.repartition("key", "sub").sortWithinPartitions("key", "sub")
-    return shuffled.mapInArrow(_bucket_links, "a long, b long")
+    return shuffled.mapInArrow(lean_batches(_bucket_links), "a long, b long")
 
 
 def _rooted(fps: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def _rooted(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id, n_docs (of the component) for every row of docs."""
-    fps = stored(id_and_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    fps = stored(id_and_text(docs).mapInArrow(lean_batches(_fingerprints), "doc_id long, fp long"))
     rooted = stored(_rooted(fps))
     whole = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").cast("long").alias("n_docs"))
     of = rooted.join(whole, "root").select(F.col("fp").alias("_fp"), "component_id", "n_docs")
@@ -217,7 +217,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     known_by = lambda i, t: F.unhex(F.md5(F.concat(F.coalesce(i.cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(t, F.lit("")))))
     ided = id_and_text(docs).select("doc_id", known_by(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
-    fps = stored(ided.mapInArrow(_fingerprints, "doc_id long, row_key binary, fp long"))
+    fps = stored(ided.mapInArrow(lean_batches(_fingerprints), "doc_id long, row_key binary, fp long"))
     # Equal fingerprints are folded before they meet their component.
     order = lambda: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     heads = fps.groupBy("fp").agg(F.min(order()).alias("head"))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import id_and_text
+from tidemark.llm.common import id_and_text, lean_batches
 
 MARK = "▁"
 #: Tokens beyond which a document counts as over the limit.
@@ -96,4 +96,4 @@ def _counted(model: str):
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; `model` is a path that every executor can open."""
-    return id_and_text(docs).mapInArrow(_counted(model), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return id_and_text(docs).mapInArrow(lean_batches(_counted(model)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
