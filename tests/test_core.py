@@ -213,3 +213,35 @@ def test_queries_and_sql_have_the_same_names():
     from tidemark import catalog
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) >= 60
+
+
+def test_tiles_equal_windows_over_whole_series(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from tidemark.operators import tiles
+
+    r = random.Random(4)
+    d = spark.createDataFrame([(f"k{r.randrange(3)}", r.randrange(0, 4000), k, r.randrange(-5, 6)) for k in range(2000)], "k string, t long, n long, x long")
+    w = Window.partitionBy("k").orderBy("t", "n")
+    for width in (10, 500, 10_000):
+        cut = tiles.tiled(d, ["k"], F.col("t"), width)
+        got = tiles.previous(cut, ["k"], ["t", "n"], {"pt": F.col("t"), "px": F.col("x")})
+        got = tiles.running(got, ["k"], ["t", "n"], {"s": F.col("x"), "c": F.lit(1)})
+        got = tiles.running(got, ["k"], ["t"], {"m": F.col("x")}, how="max")
+        want = d.select("n", F.lag("t").over(w).alias("pt"), F.lag("x").over(w).alias("px"), F.sum("x").over(w).alias("s"), F.count("*").over(w).alias("c"), F.max("x").over(Window.partitionBy("k").orderBy("t")).alias("m"))
+        assert sorted(map(tuple, got.select("n", "pt", "px", "s", "c", "m").collect())) == sorted(map(tuple, want.collect())), width
+
+
+def test_runs_in_edge_over_tiles(spark):
+    from tidemark.operators import reports
+
+    rows = [("a", t * 40_000_000_000, t % 7 != 3) for t in range(60)]
+    d = spark.createDataFrame(rows, "k string, t long, hit boolean")
+    got = [r["run"] for r in reports.in_edge_runs(d, F.col("hit"), ["k"], ["t"]).orderBy("t").collect()]
+    want, n = [], 0
+    for _, _, hit in rows:
+        n = n + 1 if hit else 0
+        want.append(n)
+    assert got == want

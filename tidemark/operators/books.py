@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import params as P
+from tidemark.operators import tiles
 from tidemark.sources.bridge import LEVELS
 
+#: Sequence numbers in a tile.
+SEQUENCES = 1_000_000
 LADDER = "array<struct<price:double,size:double>>"
 
 
@@ -67,8 +70,9 @@ def worst(a: Column, b: Column) -> Column:
 
 def gaps(rows: DataFrame, by: list[str], seq: str) -> DataFrame:
     """Adds gap (seq is not the one before plus 1) and epoch (gaps so far): books of another epoch are invalid."""
-    w = Window.partitionBy(*by).orderBy(seq)
-    return rows.withColumn("gap", F.coalesce(F.col(seq) != F.lag(seq).over(w) + 1, F.lit(False))).withColumn("epoch", F.sum(F.col("gap").cast("int")).over(w))
+    out = tiles.previous(tiles.tiled(rows, by, F.col(seq), SEQUENCES), by, [seq], {"_seq": F.col(seq)})
+    out = out.withColumn("gap", F.coalesce(F.col(seq) != F.col("_seq") + 1, F.lit(False)))
+    return tiles.running(out, by, [seq], {"epoch": F.col("gap").cast("int")}).drop("_seq", "_tile")
 
 
 def last_written(changes: DataFrame, by: list[str], price: str, size: str, seq: str) -> DataFrame:

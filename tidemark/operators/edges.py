@@ -49,7 +49,7 @@ def depth(rows: DataFrame, fee: float, target: float) -> DataFrame:
 
 def matches(books: DataFrame, pairs: DataFrame, tolerance: int = P.MATCH_TOLERANCE_NS) -> DataFrame:
     """Quotes of leg A with the nearest quote of leg B of the same pair: pair columns, l and r. The registry is small."""
-    of = lambda leg, key: books.filter(F.col("leg") == leg).join(F.broadcast(pairs.select("pair_key", F.col(key).alias("_m"), "include")), F.col("market_id") == F.col("_m")).drop("_m")
+    of = lambda leg, key: books.filter(F.col("leg") == leg).join(pairs.select("pair_key", F.col(key).alias("_m"), "include"), F.col("market_id") == F.col("_m")).drop("_m")
     return align.nearest(of("A", "a_market"), of("B", "b_market"), ["pair_key"], "recv_ns", tolerance, "capture_seq")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import params as P
+from tidemark.operators import tiles
 from tidemark.operators.edges import qualifies
 
 
@@ -22,10 +23,10 @@ def persistence(edges: DataFrame, g: P.Gate = P.Gate()) -> DataFrame:
 
 def sessions(rows: DataFrame, by: list[str], at: str, gap_seconds: float) -> DataFrame:
     """Adds session: 0, 1, ... in each key; a gap longer than gap_seconds starts a new one."""
-    w = Window.partitionBy(*by).orderBy(at)
     us = F.unix_micros(at)
-    new = F.when(us - F.lag(us).over(w) > int(gap_seconds * 1e6), 1).otherwise(0)
-    return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    out = tiles.previous(tiles.tiled(rows, by, us), by, [at], {"_at": us})
+    new = F.when(us - F.col("_at") > int(gap_seconds * 1e6), 1).otherwise(0)
+    return tiles.running(out, by, [at], {"session": new}).drop("_at", "_tile")
 
 
 def build(edges: DataFrame, g: P.Gate = P.Gate()) -> DataFrame:
@@ -125,7 +126,7 @@ def fee_sweep(edges: DataFrame, levels: tuple[float, ...] = P.FEE_LEVELS, base:
     Rows are tested for all levels in one pass and counted by (market, level) before anything is gathered.
     """
     basis = persistence(edges, g).filter("is_basis").select("market")
-    rows = edges.withColumn("market", market(F.col("pair_key"))).join(F.broadcast(basis), "market", "left_anti")
+    rows = edges.withColumn("market", market(F.col("pair_key"))).join(basis, "market", "left_anti")
     hits = F.array_compact(F.array(*(F.when(qualifies(g, F.lit(base - f)), F.lit(k)) for k, f in enumerate(levels))))
     counted = rows.select("market", F.explode(hits).alias("k")).groupBy("market", "k").agg(F.count("*").alias("n"))
     by_level = counted.groupBy("k").agg(F.sum("n").alias("n"), F.sort_array(F.collect_set("market")).alias("markets"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import tiles
 from tidemark.params import FRESH_SECONDS
 
 #: The thresholds of the gates.
@@ -13,9 +14,9 @@ MIN_ROWS, MAX_GAP_RATE, MAX_STALE_RATE, MAX_OFFSET_MS = 1440, 0.05, 0.10, 100.0
 
 def markets(books: DataFrame, nominal_s: float = 30.0) -> DataFrame:
     """Rows, stale, missing and crossed rows, intervals, gaps and median interval of each (leg, market)."""
-    w = Window.partitionBy("leg", "market_id").orderBy("capture_ts", "capture_seq")
-    us = F.unix_micros("capture_ts")
-    rows = books.withColumn("_iv", (us - F.lag(us).over(w)) / 1e6)
+    us, by = F.unix_micros("capture_ts"), ["leg", "market_id"]
+    slim = books.select(*by, "capture_ts", "capture_seq", "status", "best_bid", "best_ask", "staleness_s")
+    rows = tiles.previous(tiles.tiled(slim, by, us), by, ["capture_ts", "capture_seq"], {"_at": us}).withColumn("_iv", (us - F.col("_at")) / 1e6)
     return rows.groupBy("leg", "market_id").agg(
         F.count("*").alias("rows"), F.count_if(F.col("status") == "fresh").alias("fresh_rows"), F.count_if(F.col("status") == "stale").alias("stale_rows"),
         F.count_if(F.col("best_bid").isNull() & F.col("best_ask").isNull()).alias("empty_rows"), F.count_if(F.col("best_bid") > F.col("best_ask")).alias("crossed_rows"),
@@ -82,9 +83,9 @@ def continuity(events: DataFrame) -> DataFrame:
 
 def late_cycles(events: DataFrame, by: list[str], at: str, cadence_s: float, late: float = 1.5) -> DataFrame:
     """Rows that come later than `late` cadences behind the one before."""
-    w = Window.partitionBy(*by).orderBy(at)
     us = F.unix_micros(at)
-    return events.withColumn("gap_s", (us - F.lag(us).over(w)) / 1e6).filter(F.col("gap_s") > late * cadence_s)
+    rows = tiles.previous(tiles.tiled(events, by, us), by, [at], {"_at": us})
+    return rows.withColumn("gap_s", (us - F.col("_at")) / 1e6).filter(F.col("gap_s") > late * cadence_s).drop("_at", "_tile")
 
 
 def is_stale(age_s: Column, threshold: float = FRESH_SECONDS) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import tiles
 from tidemark.operators.episodes import market
 from tidemark.sources.bridge import LEVELS
 
@@ -39,10 +40,10 @@ def depth_curve(edges: DataFrame, sizes: tuple[int, ...] = (1, 100, 1000, 5000))
 
 
 def thinned(rows: DataFrame, by: list[str], order: list[str], most: int = 500) -> DataFrame:
-    """Every ceil(n / most)-th row of each series, the first included."""
-    w = Window.partitionBy(*by)
-    out = rows.withColumns({"_k": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
-    return out.filter(F.col("_k") % F.ceil(F.col("_n") / most) == 0).drop("_k", "_n")
+    """Every ceil(n / most)-th row of each series, the first included; order[0] is a timestamp."""
+    out = tiles.running(tiles.tiled(rows, by, F.unix_micros(F.col(order[0]).cast("timestamp"))), by, order, {"_k": F.lit(1)})
+    total = rows.groupBy(*by).agg(F.ceil(F.count("*") / most).alias("_step"))
+    return out.join(total, by).filter((F.col("_k") - 1) % F.col("_step") == 0).drop("_k", "_step", "_tile")
 
 
 def recurrence(episodes: DataFrame, hours: int = 4) -> DataFrame:
@@ -59,7 +60,7 @@ def recurrence(episodes: DataFrame, hours: int = 4) -> DataFrame:
 
 def survival_split(ladders: DataFrame, buckets: DataFrame) -> DataFrame:
     """Ladders by bucket of their market (unusable by default): tiers and counts at 250, 500 and 1000 ms."""
-    rows = ladders.withColumn("market", market(F.col("pair_key"))).join(F.broadcast(buckets.select("market", "bucket")), "market", "left")
+    rows = ladders.withColumn("market", market(F.col("pair_key"))).join(buckets.select("market", "bucket"), "market", "left")
     at = [F.count_if(F.col("through_ms") >= k).alias(f"ge_{k}") for k in (250, 500, 1000)]
     return rows.filter("tier IS NOT NULL").groupBy(F.coalesce("bucket", F.lit("unusable")).alias("bucket"), "tier").agg(F.count("*").alias("n"), *at)
 
@@ -78,11 +79,14 @@ def page(rows: DataFrame, keys: list[str], after: tuple | None, limit: int, most
 
 
 def in_edge_runs(edges: DataFrame, hit: Column, by: list[str], order: list[str]) -> DataFrame:
-    """Adds run: how many rows in a row have been in edge, 0 where the row isn't (gaps and islands)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = edges.withColumn("_hit", hit).withColumn("_resets", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(w))
-    inside = Window.partitionBy(*by, "_resets").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("run", F.sum(F.col("_hit").cast("int")).over(inside)).drop("_hit", "_resets")
+    """Adds run: how many rows in a row have been in edge, 0 where the row isn't; order[0] is a number of microseconds.
+
+    Hits so far less those at the last row that was no hit: both are running values, so an island of any length is split.
+    """
+    out = tiles.tiled(edges.withColumn("_hit", hit), by, F.col(order[0]))
+    out = tiles.running(out, by, order, {"_hits": F.col("_hit").cast("long")})
+    out = tiles.running(out, by, order, {"_lost": F.when(F.col("_hit"), 0).otherwise(F.col("_hits"))}, how="max")
+    return out.withColumn("run", F.when(F.col("_hit"), F.col("_hits") - F.col("_lost")).otherwise(0)).drop("_hit", "_hits", "_lost", "_tile")
 
 
 def ewma(samples: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.2) -> DataFrame:

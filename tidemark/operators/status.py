@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import tiles
 from tidemark.operators.quality import ranked_value
 
 #: Events that a status lists, seconds after which a recorder counts as stale, events that it lists.
@@ -111,8 +112,6 @@ def worst(markets: DataFrame, n: int = 10) -> DataFrame:
 
 def restarts(log: DataFrame, by: list[str], at: str, cadence_s: float, late: float = 1.5) -> DataFrame:
     """Adds mark to a continuity log: restart where the run changes, late where a cycle is behind, else null."""
-    w = Window.partitionBy(*by).orderBy(at)
     us = F.unix_micros(at)
-    gap = (us - F.lag(us).over(w)) / 1e6
-    rows = log.withColumns({"gap_s": gap, "_run": F.lag("run_id").over(w)})
-    return rows.withColumn("mark", F.when(F.col("_run") != F.col("run_id"), "restart").when(F.col("gap_s") > late * cadence_s, "late")).drop("_run")
+    rows = tiles.previous(tiles.tiled(log, by, us), by, [at], {"_at": us, "_run": F.col("run_id")}).withColumn("gap_s", (us - F.col("_at")) / 1e6)
+    return rows.withColumn("mark", F.when(F.col("_run") != F.col("run_id"), "restart").when(F.col("gap_s") > late * cadence_s, "late")).drop("_run", "_at", "_tile")

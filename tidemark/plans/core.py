@@ -11,6 +11,7 @@ from tidemark.operators import align, books as B, edges as E, episodes as EP, qu
 from tidemark.plans import sql as S
 from tidemark.plans.registry import query
 from tidemark.sources import bridge
+from tidemark.sources.scratch import stored
 
 #: Bridge rows of one pair are minutes to hours apart in wall time, so sessions use a gap of six hours.
 GAP = 21_600.0
@@ -37,8 +38,13 @@ def _ladders(spark: SparkSession, sf: str) -> DataFrame:
     return EP.survived_through(bridge.probes(spark, sf), ["pair_key", "direction", "ladder"])
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges with the columns that ranking and classifying look at, derived once: they are read several times."""
+    return stored(_edges(spark, sf).select("pair_key", "direction", "capture_ts", "books_fresh", "skew_ms", "fee_adj_edge", "depth_adj_edge", "max_profitable_size"))
+
+
 def _ranked(spark: SparkSession, sf: str, basis: bool = True) -> DataFrame:
-    return EP.ranked(_edges(spark, sf), bridge.probes(spark, sf), GATE, include_basis=basis)
+    return EP.ranked(_judged(spark, sf), bridge.probes(spark, sf), GATE, include_basis=basis)
 
 
 EPS = S.episodes(GAP)
@@ -130,7 +136,7 @@ WHEN coalesce(deep < 0.01, true) THEN 'negative after depth' WHEN coalesce(size
 round(in_edge_cycles / total_cycles::DOUBLE, 9) AS in_edge_frac, total_cycles, coalesce(episodes, 0) AS episode_count, round(coalesce(CASE WHEN coalesce(t, 0) > 0 THEN ts ELSE s END, 0.0), 6) AS score
 FROM pers p JOIN rej USING (market) LEFT JOIN best2 USING (market)""")
 def pair_classification(spark, sf):
-    c = EP.classify(_edges(spark, sf), bridge.probes(spark, sf), GATE)
+    c = EP.classify(_judged(spark, sf), bridge.probes(spark, sf), GATE)
     return c.select("market", "bucket", "reason", F.round("in_edge_frac", 9).alias("in_edge_frac"), "total_cycles", "episode_count", F.round("score", 6).alias("score"))
 
 
@@ -142,7 +148,7 @@ _LEVELS = ", ".join(f"({k}, {f}::DOUBLE)" for k, f in enumerate(P.FEE_LEVELS))
 hit AS ({_SWEEP}), lev AS (SELECT v.k, v.fee, count(hit.market) AS candidate_rows, coalesce(list_sort(list(DISTINCT hit.market) FILTER (WHERE hit.market IS NOT NULL)), []) AS ms FROM (VALUES {_LEVELS}) v(k, fee) LEFT JOIN hit ON v.k = hit.k GROUP BY 1, 2)
 SELECT fee, candidate_rows, array_to_string(ms, ',') AS markets, array_to_string(coalesce(list_filter(lag(ms) OVER (ORDER BY k), lambda x: NOT list_contains(ms, x)), []), ',') AS dropped FROM lev""")
 def fee_sensitivity(spark, sf):
-    return EP.fee_sweep(_edges(spark, sf)).select("fee", "candidate_rows", F.array_join("markets", ",").alias("markets"), F.array_join("dropped", ",").alias("dropped"))
+    return EP.fee_sweep(_judged(spark, sf)).select("fee", "candidate_rows", F.array_join("markets", ",").alias("markets"), F.array_join("dropped", ",").alias("dropped"))
 
 
 @query(f"WITH {S.LADDERS} SELECT * FROM lad")
