@@ -68,3 +68,48 @@ def run_available(frame: DataFrame, path: str, checkpoint: str, mode: str = "app
     """Drains what is there into Parquet and stops; the checkpoint is the resume point."""
     q = frame.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+#: The longest wait between two tries, and rows after which an edge sink flushes.
+LONGEST_WAIT_S, FLUSH_ROWS = 60.0, 200
+
+
+def wait_s(failures: int, first: float = 1.0) -> float:
+    """Seconds before the next try: none before the first, then doubled up to a minute."""
+    return 0.0 if failures <= 0 else min(first * 2 ** (failures - 1), LONGEST_WAIT_S)
+
+
+def due(last_s: float | None, now_s: float, every_s: float) -> bool:
+    """Whether a periodic step (a refresh of the universe) is due."""
+    return last_s is None or now_s - last_s >= every_s
+
+
+def next_tick(began_s: float, now_s: float, cadence_s: float) -> tuple[int, float, int]:
+    """(number of the running tick, seconds to the next one, ticks that were missed since the last): a late loop does not drift."""
+    tick = int((now_s - began_s) // cadence_s)
+    return tick, began_s + (tick + 1) * cadence_s - now_s, max(0, tick - 1)
+
+
+def run_until(frame: DataFrame, path: str, checkpoint: str, seconds: float, mode: str = "append") -> bool:
+    """Runs a stream into Parquet for so many seconds at most; says whether it ended by itself."""
+    q = frame.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).start()
+    try:
+        return bool(q.awaitTermination(seconds))
+    finally:
+        q.stop()
+
+
+def edge_sink(frame: DataFrame, path: str, checkpoint: str, qualifying_only: bool = False) -> None:
+    """Drains edge rows into daily JSON, a file for each batch and day, only those that qualify if asked for."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.filter("qualifies") if qualifying_only else batch
+        rows.withColumn("date", F.date_format("capture_ts", "yyyy-MM-dd")).write.partitionBy("date").mode("append").json(path)
+
+    q = frame.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def recorded(spark, path: str, schema: str, files_a_batch: int = 1) -> DataFrame:
+    """A stream over recorded messages (JSON lines), a bounded number of files a batch: the offline twin of a live source."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(path)
