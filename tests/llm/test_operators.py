@@ -512,6 +512,60 @@ def test_markov_model_counts_and_adds_up(docs, empty):
     assert sum(hmm.forward(after, s, np.array([30]), np.array([0]))[0][0] for s in seqs) > before
 
 
+def test_markov_scores_against_a_plain_model(docs):
+    """Counts, Baum-Welch and the forward recursion once more, document by document and state by state."""
+    import numpy as np
+
+    rounds, states = 2, 3
+    got = sorted((r["doc_id"], r["score"]) for r in hmm.scores(docs, rounds=rounds, states=states, run_bytes=2_000).collect())
+    texts_of = [(r[0], [*words_of(r[1]), None]) for r in rows()]
+    train = [t for i, t in texts_of if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in t)
+    kind = lambda w: hmm.END if w is None else hmm.RARE if c[w] <= 1 else hmm.class_of(w)
+    mass, types = np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES)
+    for w, n in c.items():
+        mass[kind(w)] += n
+        types[kind(w)] += 1
+    rare = int(types[hmm.RARE])
+    inside = lambda w: 1.0 if w is None else c[w] / mass[kind(w)] if c[w] > 1 else 0.5 / rare if c[w] == 1 else 0.5 if rare else 1.0
+    weight = hmm.class_weights(mass, types)
+    m = hmm.Model.first(weight, states)
+
+    def passes(t):
+        x, alpha, scale = [kind(w) for w in t], [], []
+        for k, o in enumerate(x):
+            a = (m.start if k == 0 else [sum(alpha[-1][i] * m.step[i, j] for i in range(states)) for j in range(states)]) * m.emit[:, o]
+            scale.append(sum(a))
+            alpha.append(np.array(a) / scale[-1])
+        return x, alpha, scale
+
+    for _ in range(rounds):
+        # All probabilities of a step add up to one: over the events of each class, and the unknown word.
+        events = np.zeros(hmm.CLASSES)
+        for w in c:
+            events[kind(w)] += inside(w)
+        events[hmm.RARE] += 0.5 if rare else 1.0
+        assert (m.emit @ events == pytest.approx(np.ones(states))) and (m.step.sum(1) == pytest.approx(np.ones(states))) and m.start.sum() == pytest.approx(1)
+        start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, hmm.CLASSES))
+        for t in train:
+            x, alpha, scale = passes(t)
+            beta = np.ones(states)
+            for k in range(len(x) - 1, -1, -1):
+                at = alpha[k] * beta
+                emit[:, x[k]] += at
+                if k:
+                    onward = beta * m.emit[:, x[k]] / scale[k]
+                    step += np.outer(alpha[k - 1], onward) * m.step
+                    beta = m.step @ onward
+                else:
+                    start += at
+        m = hmm.Model.of_counts(np.concatenate((start, step.ravel(), emit.ravel())), weight, states)
+    want = sorted((i, sum(np.log10(passes(t)[2])) + sum(np.log10(inside(w)) for w in t)) for i, t in texts_of)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    for (_, a), (_, b) in zip(got, want):
+        assert a == pytest.approx(b, rel=1e-4, abs=1e-3)
+
+
 def test_null_ids(spark):
     d = spark.createDataFrame([Row(doc_id=None, text=prose(90, 1)), Row(doc_id=None, text=None), Row(doc_id=4, text=prose(90, 1))], "doc_id long, text string")
     assert suffix_dedup.repeated_bytes(d).filter("doc_id IS NULL AND n_removed > 0").count() == 1

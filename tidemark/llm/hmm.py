@@ -2,9 +2,9 @@
 
 Tokens are words with ASCII letters lower-cased and one end a document. Events are the V distinct training tokens and
 one for every unknown word. Each event has a class: the end has one, tokens seen once share one with the unknown word,
-all others fall into CLASSES by their length and last three bytes. A hidden state emits a class, and the class its
-event by its training counts (the class of rare events: half to the unknown word, half to the tokens seen once), so that
-all probabilities of a step add up to 1 while the parameters to train stay STATES x CLASSES however many words there are.
+all others fall into CLASSES by their length and last three bytes. A hidden state emits one of the classes that hold an
+event, and the class its event by its training counts (the class of rare events: half to the unknown word, half to the
+tokens seen once, all to the unknown word if there are none), so that all probabilities of a step add up to 1 while the parameters to train stay STATES x CLASSES however many words there are.
 
 Counts of words come through tidemark.llm.runs: each run sends its distinct words with its training counts and gets the
 totals. Baum-Welch runs over all training documents: every partition adds up expected counts by the forward-backward
@@ -12,7 +12,8 @@ recursion, the sums are added by slices on the executors, and the driver sees ST
 round. The final pass computes exact likelihoods of all documents by the scaled forward recursion.
 
 Defined results: null and empty texts are one end; a null doc_id is a training document; rows repeat as they come (and
-count as often); without training tokens every event has its share of 1 / (V + 1); an empty table gives an empty result.
+count as often); without training tokens the model keeps its first rates; other columns, whatever their names, are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ class Model:
 
     @staticmethod
     def first(weight: np.ndarray, states: int = STATES) -> "Model":
-        """The classes' own rates, shaken so that states can part; states tend to stay."""
+        """The classes' own rates, shaken so that states can part; states tend to stay. A weight of -1: a class without events."""
         rng = np.random.default_rng(SEED)
         emit = (weight + 1) * np.exp(rng.normal(0, 0.5, (states, len(weight))))
         step = np.full((states, states), 0.2 / max(1, states - 1)) + np.eye(states) * 0.8
@@ -140,6 +141,13 @@ class Model:
         return Model(norm(start + 0.1), norm(step + 0.1), norm(emit + prior))
 
 
+def class_weights(mass: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """Training tokens of each class, -1 for a class that holds no event; unknown words and ends are always possible."""
+    holds = types > 0
+    holds[[RARE, END]] = True
+    return np.where(holds, mass, -1.0)
+
+
 def groups(docs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
     """Documents of like length, about TOGETHER tokens at once: (their places, tokens one behind another, lengths, starts)."""
     order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
@@ -243,7 +251,7 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, run_byte
         mass[r["c"]], types[r["c"]] = r["n"], r["v"]
     total = int(mass.sum())
     encoded = stored(with_answers(runs, replies, _encoded(total, int(types.sum()), mass, int(types[RARE])), _ENCODED_DDL))
-    weight = mass.astype(float)
+    weight = class_weights(mass, types)
     model = Model.first(weight, states)
     train = encoded.filter("NOT held_out").select("classes")
     for _ in range(rounds if total else 0):
