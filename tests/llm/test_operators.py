@@ -429,6 +429,39 @@ def test_quality_trees_learn_and_hold_out(spark, docs, empty):
     assert quality_gbdt.quality(empty, labels).count() == 0
 
 
+def test_trees_against_a_plain_search_and_a_plain_walk():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    n, nf = 400, len(quality_gbdt.STATISTICS)
+    x = r.normal(size=(n, nf)).round(2)
+    y = ((x[:, 3] > 0.2) ^ (r.random(n) < 0.1)).astype(float)
+    m = quality_gbdt.fit(x, y)
+    b = m.binned(x)
+    # Every score is the sum of the leaves that a walk from each root ends in.
+    for k in range(0, n, 7):
+        total = m.start
+        for at in m.roots:
+            while m.left[at] >= 0:
+                at = m.left[at] + int(x[k, m.statistic[at]] > m.edges[m.statistic[at]][m.bin[at]] if m.bin[at] < len(m.edges[m.statistic[at]]) else 0)
+            total += m.value[at]
+        assert m.raw(b[k : k + 1])[0] == pytest.approx(total)
+    # The first split is the best of all statistics and thresholds, by the gain of the second-order loss.
+    p = 1 / (1 + np.exp(-m.start))
+    g, h = y - p, np.full(n, p * (1 - p))
+    worth = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + quality_gbdt.L2)
+    best = max(
+        (worth(left) + worth(~left) - worth(np.ones(n, bool)), k, c)
+        for k in range(nf) for c, e in enumerate(m.edges[k]) for left in [x[:, k] <= e] if min(left.sum(), (~left).sum()) >= quality_gbdt.LEAST
+    )
+    root = m.roots[0]
+    assert (m.statistic[root], m.bin[root]) == best[1:]
+    left = x[:, best[1]] <= m.edges[best[1]][best[2]]
+    assert m.value[m.left[root]] == pytest.approx(quality_gbdt.RATE * g[left].sum() / (h[left].sum() + quality_gbdt.L2)) or m.left[m.left[root]] >= 0
+    for half in (0.0, 1.0):
+        assert quality_gbdt.fit(x, np.full(n, half)).score(x)[0] == pytest.approx((half * n + 1) / (n + 2))
+
+
 def test_bpe_tree_equals_the_library(docs, empty):
     import numpy as np
     import tiktoken
@@ -590,9 +623,69 @@ def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
         out = stage(spark, step, str(tmp_path))
         assert out.columns == step.columns, name
         step = out
-    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert 50 not in got and 10 not in got and {0, 4, 12} <= got and not got & {1, 2, 3, 5, 6}
-    assert F is not None
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 50 not in got and 10 not in got and {0, 4, 12} <= set(got) and not set(got) & {1, 2, 3, 5, 6}
+    want = _pipeline_by_hand([(r[0], r[1] or "") for r in rows()] + [(50, more.first()["text"])], leak)
+    assert {i: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for i, r in got.items()} == want
+
+
+def _pipeline_by_hand(docs, leak):
+    import re
+
+    import numpy as np
+    import tiktoken
+
+    space = " \t\n\r\x0b\x0c"
+    split = lambda t: [x for x in re.split(f"[{space}]+", t) if x]
+
+    def passes_rules(t):
+        w, lines = split(t), [x for x in t.split("\n") if x.strip(space)]
+        windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        again = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(8)} if len(w) < 400 else set()
+        chars, letters, upper = sum(map(len, w)), sum(c.isascii() and c.isalpha() for c in t), sum("A" <= c <= "Z" for c in t)
+        twice, n = len(lines) - len(set(lines)), len(w)
+        fails = [
+            n < 20, 100 * len(again) > 30 * n, 10 * sum(c in "#*$%&|<>" for c in t) > n, chars < 2 * n, chars > 25 * n, twice >= 3 and 100 * twice > 30 * len(lines),
+            letters >= 20 and 2 * upper > letters, 10 * sum(x == y for x, y in zip(w, w[1:])) > 3 * n,
+        ]
+        return not any(fails)
+
+    docs = [(i, t) for i, t in docs if passes_rules(t)]
+    prints = [(i, t, simhash.fingerprint(t)) for i, t in docs]
+    group = {i: i for i, _, _ in prints}
+    for _ in prints:
+        for i, _, f in prints:
+            for j, _, g in prints:
+                if (f ^ g).bit_count() <= 2:
+                    group[i] = group[j] = min(group[i], group[j])
+    docs = sorted({(i, t) for i, t, _ in prints if group[i] == i})
+    # Passages of 50 words and more that an earlier document has, too: here all repeats are word for word.
+    seen, cut = set(), []
+    for i, t in docs:
+        w = words_of(t)
+        runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        gone = {k + j for k, x in enumerate(runs) if x in seen for j in range(50)}
+        seen.update(runs)
+        places = [m.span() for m in re.finditer(f"[^{space}]+", t)]
+        out, k = "", 0
+        while k < len(places):  # the text between kept words stays, that inside a passage goes
+            if k in gone:
+                first = k
+                while k + 1 in gone:
+                    k += 1
+                out += t[(places[first - 1][1] if first else 0) : places[first][0]]
+            else:
+                out += t[(places[k - 1][1] if k else 0) : places[k][1]]
+            k += 1
+        cut.append((i, (out + t[places[-1][1] :]) if gone else t))
+    docs = [(i, t) for i, t in cut if split(t)]
+    item = decontamination.folded(leak)
+    docs = [(i, t) for i, t in docs if edit(item, decontamination.folded(t)) > decontamination.budget(len(item))]
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return {i: (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t.encode())) for i, t in docs for ids in [enc.encode_ordinary(t)]}
 
 
 def test_rows_that_repeat_an_id_are_told_apart_by_their_text(spark):
