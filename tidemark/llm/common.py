@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import math
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import scratch_dir, stored
+
+__all__ = ["SPACE", "documents", "id_and_text", "lean", "lean_batches", "pieces", "release", "scratch_dir", "stored", "text_bytes"]
+
 #: White space between words: U+0020 and U+0009 to U+000D. bytes.split() uses the same six characters.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -28,27 +28,6 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in local mode without the setting, a folder of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df written once to the shared folder and read back: later readers survive lost executors and recompute nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts: one scan that returns one row."""
     return int(docs.select(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"])

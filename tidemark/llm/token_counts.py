@@ -2,9 +2,10 @@
 
 The model turns every space into its word mark and adds one mark before a text. No piece holds a mark after another
 character, so no merge crosses the place before a mark that follows another character: the text falls apart there into
-pre-tokens (marks, then other characters) that encode independently, and the counts add up. `Counter.__init__` proves
-that property for the given vocabulary, and proves by encoding it which pre-token is one token by itself: those are
-counted directly, all others are merged by the library, once for each distinct pre-token that a worker remembers.
+pre-tokens (marks, then other characters) that encode independently, and the counts add up. `Proof` checks that property
+for the given vocabulary, and finds by encoding it which pre-token is one token by itself. The driver proves once and
+sends the result, at most the vocabulary. Executors count those pre-tokens directly; all others are merged by the library,
+once for each distinct pre-token that a worker remembers.
 
 Defined results: null and empty texts have no tokens; every row gives one row; a text of any length is counted whole.
 """
@@ -13,8 +14,11 @@ from __future__ import annotations
 
 from collections import Counter as Tally
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import id_and_text, lean_batches
@@ -26,17 +30,38 @@ LIMIT = 4096
 MEMORY = 200_000
 
 
+@lru_cache(maxsize=2)
+def _model(path: str):
+    """A worker's or the driver's model, loaded once."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+class Proof(NamedTuple):
+    """What holds of a vocabulary."""
+
+    #: Whether texts fall apart before marks: no piece has a mark behind another character, spaces become marks one by one, one mark is added.
+    splits: bool
+    #: Pre-tokens, without their first mark, that encode as one token.
+    whole: frozenset[str]
+
+    @staticmethod
+    def of(model: str) -> "Proof":
+        sp = _model(model)
+        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        plain = [p for i, p in enumerate(pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        splits = not any(MARK in p.lstrip(MARK) for p in plain) and sp.encode("a  b ", out_type=str) == sp.encode(f"a{MARK}{MARK}b{MARK}", out_type=str) and len(sp.encode(" ")) == len(sp.encode(MARK))
+        # The model must leave characters as they are: every character of its own pieces, and some that normal forms change.
+        kept = sorted({c for p in plain for c in p if c != MARK} | set("ﬁÅA\u0301Ａ①\u00ad\u200b"))
+        splits = splits and all(sp.decode(ids) == c or sp.unk_id() in ids for c in kept for ids in [sp.encode(c)])
+        return Proof(splits, frozenset(p[1:] for p in plain if p[0] == MARK and len(p) > 1 and len(sp.encode(p[1:])) == 1))
+
+
 class Counter:
-    def __init__(self, model: str):
-        import sentencepiece
-
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        plain = [p for i, p in enumerate(pieces) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i))]
-        #: Whether texts fall apart before marks: no piece has a mark behind another character, spaces become marks one by one, one mark is added.
-        self.splits = not any(MARK in p.lstrip(MARK) for p in plain) and self.sp.encode("a  b ", out_type=str) == self.sp.encode(f"a{MARK}{MARK}b{MARK}", out_type=str) and len(self.sp.encode(" ")) == len(self.sp.encode(MARK)) and "".join(self.sp.encode(" ﬁÅ", out_type=str)) == f"{MARK}{MARK}ﬁÅ"
-        #: Pre-tokens, without their first mark, that encode as one token.
-        self.whole = {p[1:] for p in plain if p[0] == MARK and len(p) > 1 and len(self.sp.encode(p[1:])) == 1}
+    def __init__(self, model: str, proof: Proof | None = None):
+        self.sp = _model(model)
+        self.splits, self.whole = proof or Proof.of(model)
         self.known: dict[str, int] = {}
 
     def count(self, text: str) -> int:
@@ -83,9 +108,9 @@ def _with_runs(parts: list[str]) -> list[str]:
     return out
 
 
-def _counted(model: str):
+def _counted(model: str, proof: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(model)
+        counter = Counter(model, proof.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n = [counter.count(t) for t in texts]
@@ -96,4 +121,5 @@ def _counted(model: str):
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; `model` is a path that every executor can open."""
-    return id_and_text(docs).mapInArrow(lean_batches(_counted(model)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    proof = docs.sparkSession.sparkContext.broadcast(Proof.of(model))  # no larger than the vocabulary
+    return id_and_text(docs).mapInArrow(lean_batches(_counted(model, proof)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
