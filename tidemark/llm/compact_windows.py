@@ -44,6 +44,8 @@ PASSAGE = 46
 OWN = PASSAGE - math.ceil(2 * SIMILARITY / (1 + SIMILARITY) * PASSAGE - 1e-9)
 #: Tokens of the earlier document, on each side, within which an aligned passage may have shifted.
 SLACK = 8
+#: Bits of a token that do not travel to be compared: passages are compared one by one, for which 48 bits tell shingles apart.
+SPARED = np.uint64(16)
 #: Bytes of text in a run.
 RUN_BYTES = 4_000_000
 _STEPS = [np.uint64(xxhash.xxh64_intdigest(b"place", k) | 1) for k in range(SHINGLE)]
@@ -349,7 +351,7 @@ def _proposed(n_runs: int):
             asked, at = merged_ranges(found)
             state = {
                 "doc_id": s.doc_id, "held": s.held, "text_md5": s.text_md5, "n_words": s.n_words, "found": found, "at": at,
-                "tokens": {d: s.tokens[s.start[d] : s.start[d] + s.size[d]] for d in own},
+                "tokens": {d: s.tokens[s.start[d] : s.start[d] + s.size[d]] >> SPARED for d in own},
             }
             rows.append((1, s.run, -1, zstandard.compress(pickle.dumps(state, protocol=5), 3)))
             if len(asked):
@@ -376,7 +378,7 @@ def _served(table: pa.Table, requests: pa.Table) -> pa.Table:
             for doc, low, high in zip(r["doc"].tolist(), r["low"].tolist(), r["high"].tolist()):
                 d = at.get(doc)
                 part = s.tokens[s.start[d] + min(low, s.size[d]) : s.start[d] + min(high, s.size[d])] if d is not None else s.tokens[:0]
-                parts.append(part)
+                parts.append(part >> SPARED)
                 sizes.append(len(part))
             out.append((run, s.run, pack({"k": r["k"], "size": np.array(sizes, np.int64), "tokens": np.concatenate(parts)})))
     return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("run", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())))})
