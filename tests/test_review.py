@@ -73,3 +73,15 @@ def test_stored_rows_get_conservative_defaults(spark):
 def test_snapshot_sink_numbers_changed_legs(spark):
     d = spark.createDataFrame([("A", "m", 1), ("A", "m", 1), ("A", "m", 5), ("B", "m", 1)], "leg string, market_id string, recv_ns long")
     assert sorted((r["leg"], r["recv_ns"], r["seq"]) for r in N.snapshot_seq(d, ["recv_ns"]).collect()) == [("A", 1, 1), ("A", 5, 2), ("B", 1, 1)]
+
+
+def test_scenarios_and_clocks(spark):
+    from tidemark import params
+    from tidemark.functions import clocks
+
+    got = params.scenarios({"executable": {"depth_haircut": 0.4, "scenarios": {"clean": {"max_skew_ms": 20}, "rough": None}}})
+    assert (got["clean"].max_skew_ms, got["clean"].depth_haircut, got["rough"].max_skew_ms, got["rough"].min_snapshots) == (20.0, 0.4, 50.0, 2)
+    with pytest.raises(ValueError):
+        params.scenarios({"executable": {}})
+    x = spark.range(1).select(clocks.offset_ms(F.lit(10.0), F.lit(9.5), F.lit(9.6), F.lit(10.3)), clocks.offset_ms(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(1.0)), clocks.cadence_s(F.lit(5), F.lit(8.0)), clocks.cadence_s(F.lit(1), F.lit(8.0))).first()
+    assert x[0] == pytest.approx(600.0) and x[1] is None and x[2] == 2.0 and x[3] is None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import core, discovery, markets, review  # noqa: F401  queries register themselves
+from tidemark.plans import core, discovery, markets, review, summaries  # noqa: F401  queries register themselves
 from tidemark.plans.registry import QUERIES, SQL
 
 

@@ -49,3 +49,22 @@ def overall(values: DataFrame) -> DataFrame:
 def best_row(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_rn = 1").drop("_rn")
+
+
+def chances(rows: DataFrame, latency_ms: float, placeholder: float, leg_failure: float) -> DataFrame:
+    """One row over strategy rows (is_probe, qualifies, through_ms, capture_ts): how likely a profit is, and what it rests on.
+
+    The chance that an edge outlives the reaction time is the share of probed qualifying rows that did, or a placeholder
+    where none was probed; times the share of baseline rows that qualify. A loss is its complement, less failed legs.
+    """
+    probed = F.col("qualifies") & F.col("through_ms").isNotNull()
+    base = ~F.col("is_probe")
+    out = rows.agg(
+        F.count_if(base).alias("snapshots"), F.count_if(base & F.col("qualifies")).alias("qualifying_rows"), F.count_if(probed).alias("probed"),
+        F.count_if(probed & (F.col("through_ms") >= latency_ms)).alias("_alive"), ((F.max(F.when(base, F.unix_micros("capture_ts"))) - F.min(F.when(base, F.unix_micros("capture_ts")))) / 3.6e9).alias("_hours"),
+    )
+    alive = F.when(F.col("probed") > 0, F.col("_alive") / F.col("probed")).otherwise(placeholder)
+    rate = F.when(F.col("snapshots") > 0, F.col("qualifying_rows") / F.col("snapshots")).otherwise(0.0)
+    hours = F.when(F.col("_hours").isNotNull(), F.greatest(F.col("_hours"), F.lit(24.0 / 1440.0))).otherwise(0.0)
+    profit = alive * rate
+    return out.select("snapshots", "qualifying_rows", "probed", F.round(profit, 6).alias("chance_of_profit"), F.round(1.0 - profit * (1.0 - leg_failure), 6).alias("chance_of_loss"), F.round(hours, 2).alias("soak_hours"))

@@ -51,3 +51,15 @@ class Value:
     hold_to_resolution: bool = False
     viable_per_day: float = 5.0
     viable_per_week: float = 5.0
+
+
+def scenarios(document: dict) -> dict[str, Executable]:
+    """Executable-edge parameters of each named scenario of a modelling document: shared knobs, and each one's skew bound."""
+    shared = document.get("executable") or {}
+    named = shared.get("scenarios") or {}
+    if not named:
+        raise ValueError("the modelling document defines no scenarios")
+    return {
+        str(name): Executable(float((own or {}).get("max_skew_ms", 50.0)), float(shared.get("depth_haircut", 0.5)), float(shared.get("staleness_penalty_per_s", 0.001)), int(shared.get("min_episode_snapshots", 2)))
+        for name, own in named.items()
+    }

@@ -199,10 +199,11 @@ def run_quality(spark, sf):
 @query(f"""WITH {bridge.BOOKS_SQL}, iv AS (SELECT *, (epoch_us(capture_ts) - epoch_us(lag(capture_ts) OVER (PARTITION BY leg, market_id ORDER BY capture_ts, capture_seq))) / 1e6::DOUBLE AS i FROM books),
 mk AS (SELECT leg, market_id, count(*) AS rows, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE best_bid > best_ask) AS crossed, count(i) AS n, count(*) FILTER (WHERE i > 7200) AS g FROM iv GROUP BY 1, 2),
 w AS (SELECT min(rows) AS min_rows, max(g / nullif(n, 0)::DOUBLE) AS gap_rate, max(stale / rows::DOUBLE) AS stale_rate, sum(crossed)::BIGINT AS crossed, (SELECT count(capture_seq) - count(DISTINCT capture_seq) FROM books) AS duplicate_seq FROM mk)
-SELECT min_rows, round(gap_rate, 9) AS gap_rate, round(stale_rate, 9) AS stale_rate, crossed, duplicate_seq, min_rows >= 1440 AND gap_rate <= 0.05 AND duplicate_seq = 0 AND crossed = 0 AS health_ok, stale_rate <= 0.1 AS freshness_ok FROM w""")
+SELECT min_rows, round(gap_rate, 9) AS gap_rate, round(stale_rate, 9) AS stale_rate, crossed, duplicate_seq, min_rows >= 1440 AND gap_rate < 0.05 AND duplicate_seq = 0 AND crossed = 0 AND bad_offsets = 0 AS health_ok, stale_rate < 0.1 AS freshness_ok, bad_offsets FROM w, (SELECT count(*) FILTER (abs(o) > 100) AS bad_offsets FROM (SELECT CASE WHEN user_id % 3 = 0 THEN NULL ELSE max(value) - 1000 END AS o FROM events GROUP BY user_id))""")
 def quality_gates(spark, sf):
     b = bridge.books(spark, sf)
-    return Q.thresholds(Q.markets(b, 3600.0), Q.run_level(b)).select("min_rows", *r9("gap_rate", "stale_rate"), "crossed", "duplicate_seq", "health_ok", "freshness_ok")
+    runs = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg((F.max("value") - 1000).alias("o")).select(F.when(F.col("user_id") % 3 != 0, F.col("o")).alias("ntp_offset_ms"))
+    return Q.thresholds(Q.markets(b, 3600.0), Q.run_level(b), runs).select("min_rows", *r9("gap_rate", "stale_rate"), "crossed", "duplicate_seq", "health_ok", "freshness_ok", "bad_offsets")
 
 
 @query(f"WITH {bridge.BOOKS_SQL} SELECT leg, count(*) AS rows, round(avg((status = 'fresh')::INT), 9) AS fresh_rate, round(avg((status = 'stale')::INT), 9) AS stale_rate FROM books GROUP BY 1")
