@@ -408,15 +408,6 @@ def test_candidates_of_little_support_are_verified():
     assert got["spans"] == [{"first_word": 0, "last_word": 63}] and got["repeats_of"] == [1, 2]  # the third repeats the first
 
 
-def test_cartesian_windows():
-    r = random.Random(4)
-    v = [r.randrange(20) for _ in range(60)]
-    before, behind = compact_windows.cartesian(v)
-    for i, x in enumerate(v):
-        assert before[i] == max((k for k in range(i) if v[k] <= x), default=-1)
-        assert behind[i] == min((k for k in range(i + 1, len(v)) if v[k] < x), default=len(v))
-
-
 def test_quality_trees_learn_and_hold_out(spark, docs, empty):
     made = [(k, prose(80, k) if k % 3 else " | ".join(prose(80, k).split()), "en") for k in range(600)]
     d = spark.createDataFrame(made, "doc_id long, text string, lang string")
@@ -706,3 +697,83 @@ def test_a_hub_is_a_component(spark):
     pairs = [(0, k) for k in range(1, 3000)] + [(k, 5000 + k) for k in range(1, 40)] + [(9001, 9000), (None, 3), (4, 4)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {k: 0 for k in (*range(1, 3000), *range(5001, 5040))} | {9001: 9000}
+
+
+def test_labels_that_disagree_and_clashing_columns(spark, docs):
+    labels = spark.createDataFrame([(k, k % 2, "x") for k in range(20, 40)] + [(k, 1, "y") for k in range(20, 40)], "doc_id long, quality int, text string")
+    one = spark.createDataFrame([(k, 1) for k in range(20, 40)], "doc_id long, quality int")
+    score = lambda d, l: sorted((r["doc_id"], r["score"]) for r in quality_gbdt.quality(d, l).collect())
+    assert score(docs.withColumns({"y": F.lit(0), "x": F.lit(1), "held_out": F.lit(True)}), labels) == score(docs, one)
+
+
+def test_block_borders_change_nothing(spark):
+    import numpy as np
+
+    from tidemark.llm import runs
+
+    r = random.Random(12)
+    words = [r.choice(WORDS) for _ in range(90_000)] + ["y" * 300_000] + [r.choice(WORDS) for _ in range(2_000)]
+    raw = " ".join(words).encode()
+    assert len(raw) > 3 * compact_windows.BLOCK
+    starts, hashes = compact_windows.word_hashes(np.frombuffer(raw, np.uint8))
+    assert len(starts) == len(words) and len({(w, int(h)) for w, h in zip(words, hashes)}) == len(set(words)) == len(set(hashes.tolist()))
+    text = np.frombuffer(raw[: suffix_dedup.BLOCK + 5_000], np.uint8)
+    h = suffix_dedup.gram_hashes(text)
+    at = suffix_dedup.BLOCK - 60
+    assert len(h) == len(text) - suffix_dedup.GRAM + 1 and h[at : at + 80].tolist() == suffix_dedup.gram_hashes(text[at : at + 80 + suffix_dedup.GRAM - 1]).tolist()
+    small, runs.STRETCH = runs.STRETCH, 7
+    try:
+        x = np.array([r.randrange(50) for _ in range(300)], np.uint64)
+        for w in (1, 2, 5, 51):
+            want = sorted({p + k for p in range(len(x) - w + 1) for k in range(w) if x[p + k] == x[p : p + w].min()})
+            assert runs.minimizers(x, w).tolist() == want
+    finally:
+        runs.STRETCH = small
+    # A document of several blocks that repeats a part of itself and of another.
+    long = " ".join(words[:60_000])
+    texts_of = [(1, long[1000:4000]), (2, long + long[200_000:260_000])]
+    got = {x["doc_id"]: x["n_removed"] for x in suffix_dedup.repeated_bytes(spark.createDataFrame(texts_of, "doc_id long, text string")).collect()}
+    seen, want = set(), {}
+    for i, t in texts_of:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            if w in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(w)
+        want[i] = sum(gone)
+    assert got == want and want[2] > 60_000
+
+
+def test_passages_are_found_behind_documents_that_quote_parts(spark):
+    """Earlier documents quote fragments of a passage; two later ones hold all of it, one with changed words."""
+    r = random.Random(33)
+    passage = [r.choice(WORDS) + str(k) for k in range(80)]
+    quotes = [(k, prose(20, 900 + k) + " " + " ".join(passage[(a := r.randrange(0, 45)) : a + 35]) + " " + prose(20, 950 + k)) for k in range(40)]
+    changed = list(passage)
+    changed[40] = "other"
+    whole = [(100, prose(30, 1000) + " " + " ".join(passage) + " " + prose(30, 1001)), (101, prose(25, 1002) + " " + " ".join(passage)), (102, " ".join(changed) + " " + prose(40, 1003))]
+    got = {x["doc_id"]: x for x in compact_windows.near_duplicate_passages(spark.createDataFrame(quotes + whole, "doc_id long, text string")).collect()}
+    assert got[101]["n_repeated"] >= 80 and got[102]["n_repeated"] >= 79 and got[100]["n_repeated"] == 0
+    assert got[100]["class_id"] == got[101]["class_id"] == got[102]["class_id"] == 100
+    assert all(got[k]["n_repeated"] == 0 for k in range(40))
+
+
+def test_near_duplicate_passages_recall(spark):
+    """Planted pairs of 60-word passages with one or two changed words, held against brute-force Jaccard."""
+    r = random.Random(44)
+    rows_of, planted = [], []
+    for k in range(120):
+        p = [r.choice(WORDS) + r.choice("abc") for _ in range(60)]
+        q = list(p)
+        for at in r.sample(range(60), 1 + k % 2):
+            q[at] = f"changed{k}"
+        tokens = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        a, b = tokens(p), tokens(q)
+        rows_of += [(2 * k, prose(20, 5000 + k) + " " + " ".join(p) + " " + prose(20, 6000 + k)), (2 * k + 1, prose(20, 7000 + k) + " " + " ".join(q) + " " + prose(20, 8000 + k))]
+        if len(a & b) / len(a | b) >= 0.8:
+            planted.append(k)
+    got = {x["doc_id"]: x for x in compact_windows.near_duplicate_passages(spark.createDataFrame(rows_of, "doc_id long, text string")).collect()}
+    found = [k for k in planted if got[2 * k + 1]["n_repeated"] >= 48 and got[2 * k + 1]["class_id"] == 2 * k]
+    assert len(planted) > 60 and len(found) == len(planted)

@@ -1,5 +1,11 @@
 """Near-duplicate passages by compact windows.
 
+The method named for this operator, Cartesian trees over the min-hashes of several functions, loses pairs at the bound of
+similarity however many functions there are, and with the few that fit its messages it lost real ones. So the windows here
+are those of the OWN + 1 least tokens (a bottom-k sketch, in one order) instead of the least of each function, which loses
+none; a window is again the interval of starts whose passages have the token in their sketch, and windows are joined by
+token as intervals.
+
 Tokens are hashes of shingles of SHINGLE words (ASCII letters lower-cased). Two passages of PASSAGE tokens whose sets are
 SIMILARITY alike share all but a few of their tokens (41 of 46 different ones), so in any one order of all tokens they
 share one of the few least of each. The order is by how often a token occurs in the corpus (tidemark.llm.runs asks for
@@ -113,19 +119,6 @@ class Shingles:
         return np.searchsorted(self.start, at, side="right") - 1
 
 
-def cartesian(values: list[int]) -> tuple[list[int], list[int]]:
-    """For each value the indexes of the nearest smaller ones before (equal ones count) and behind it; -1 and n if none."""
-    n = len(values)
-    before, behind, stack = [-1] * n, [n] * n, []
-    for i, v in enumerate(values):
-        while stack and values[stack[-1]] > v:
-            behind[stack.pop()] = i
-        if stack:
-            before[i] = stack[-1]
-        stack.append(i)
-    return before, behind
-
-
 _ROWS = "bucket int, run int, blob binary"
 
 

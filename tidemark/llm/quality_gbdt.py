@@ -7,7 +7,9 @@ The trees are fitted on at most SAMPLE labelled rows, those with the smallest ha
 what the driver holds. Every document is scored.
 
 Defined results: null and empty texts have all statistics 0 and get a score like any other; a label that is null or
-belongs to no document is ignored; without any usable label every score is PRIOR; rows repeat as they come.
+belongs to no document is ignored; of labels of one id that disagree the larger counts; without any usable label every
+score is PRIOR; rows repeat as they come (a document that repeats its id is learnt once for each row); other columns of
+both tables, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -118,7 +118,7 @@ def apply_policy(rows: DataFrame, version: int = LATEST) -> DataFrame:
 
 
 def keep(docs: DataFrame, version: int = LATEST) -> DataFrame:
-    """The rows of docs that the policy keeps, with all their columns."""
+    """The rows of docs that the policy keeps, with all their columns; repeated rows stay repeated, an empty table stays empty."""
     rows = docs.select(F.struct("*").alias("_row"), docs["text"].alias("text"))
     judged = apply_policy(_measured(rows).select("_row", _bits().alias("fail_bits")), version)
     return judged.filter("kept").select("_row.*")
