@@ -54,24 +54,14 @@ def by_leg(books: DataFrame) -> DataFrame:
     return books.groupBy("leg").agg(F.count("*").alias("rows"), F.avg((F.col("status") == "fresh").cast("double")).alias("fresh_rate"), F.avg((F.col("status") == "stale").cast("double")).alias("stale_rate"))
 
 
-def percentile_floor(values: Column, pct: float) -> Column:
-    """The value at index floor(n x pct / 100) of the sorted values, at most the last."""
-    n = F.count(values)
-    return _at(values, F.least(n - 1, F.floor(n * pct / 100)))
+def floor_place(pct: float) -> Column:
+    """The index floor(n x pct / 100) of the sorted values, at most the last."""
+    return F.least(F.col("_n") - 1, F.floor(F.col("_n") * pct / 100))
 
 
-def percentile_round(values: Column, q: float) -> Column:
-    """The value at index (n - 1) x q rounded half to even."""
-    n = F.count(values)
-    return _at(values, F.least(n - 1, F.bround((n - 1) * q, 0).cast("long")))
-
-
-def _at(values: Column, index: Column) -> Column:
-    """The index-th smallest: percentile_disc-like over an ordered array of the group.
-
-    For columns of many repeated values `ranked_value` counts distinct values instead of holding them all.
-    """
-    return F.get(F.array_sort(F.collect_list(values)), index.cast("int"))
+def rounded_place(q: float) -> Column:
+    """The index (n - 1) x q rounded half to even."""
+    return F.least(F.col("_n") - 1, F.bround((F.col("_n") - 1) * q, 0).cast("long"))
 
 
 #: Equal slices of a key's range of values: the place of a rank is found by slices first, then inside one.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import tiles
-from tidemark.operators.quality import ranked_values
+from tidemark.operators.quality import floor_place, ranked_values, rounded_place
 
 #: Events that a status lists, seconds after which a recorder counts as stale, events that it lists.
 LISTED = ("recorder_gap", "recorder_start", "recorder_stop", "universe_change")
@@ -63,8 +63,7 @@ def last_events(log: DataFrame, kinds: tuple[str, ...] = LISTED, n: int = LAST_E
 def stages(samples: DataFrame, by: str, of: list[str]) -> DataFrame:
     """p50, p95 and p99 of each latency stage by endpoint, at the rounded index, to three places; distinct values are counted."""
     long = samples.select(by, F.explode(F.array(*(F.struct(F.lit(c).alias("stage"), F.round(F.col(c), 3).alias("value")) for c in of))).alias("x")).select(by, "x.*")
-    at = lambda q: F.least(F.col("_n") - 1, F.bround((F.col("_n") - 1) * q, 0).cast("long"))
-    return ranked_values(long, [by, "stage"], "value", {f"p{int(100 * q)}": at(q) for q in (0.50, 0.95, 0.99)})
+    return ranked_values(long, [by, "stage"], "value", {f"p{int(100 * q)}": rounded_place(q) for q in (0.50, 0.95, 0.99)})
 
 
 def health(checks: DataFrame) -> DataFrame:
@@ -82,9 +81,8 @@ def pair_health(checks: DataFrame) -> DataFrame:
 def capture(snapshots: DataFrame, seconds: float) -> DataFrame:
     """One row: paired snapshots, book rows, updates a minute and percentiles of the absolute skew at the floor index."""
     rows = snapshots.select(F.lit(0).alias("_k"), F.abs("skew_ms").alias("skew"))
-    at = lambda pct: F.least(F.col("_n") - 1, F.floor(F.col("_n") * pct / 100))
     base = rows.groupBy("_k").agg(F.count("*").alias("paired"), (2 * F.count("*")).alias("book_rows"), F.round(F.count("*") / max(seconds / 60.0, 1e-9), 1).alias("updates_per_min"), F.max("skew").alias("skew_max"))
-    return base.join(ranked_values(rows, ["_k"], "skew", {f"skew_p{pct}": at(pct) for pct in (50, 95, 99)}), "_k", "left").drop("_k")
+    return base.join(ranked_values(rows, ["_k"], "skew", {f"skew_p{pct}": floor_place(pct) for pct in (50, 95, 99)}), "_k", "left").drop("_k")
 
 
 def go_no_go(timing: DataFrame, other_transients: DataFrame) -> DataFrame:

@@ -7,23 +7,18 @@ from pyspark.sql import functions as F
 
 from tidemark import params as P
 from tidemark.operators.episodes import bucket_rank
-from tidemark.operators.quality import linear, ranked_values
+from tidemark.operators.quality import floor_place, linear, ranked_values, rounded_place
 from tidemark.sources.bridge import LEVELS
 
 #: Tiers that count as graded, and the order of tiers in a report.
 GRADED = ("survived_250ms", "survived_500ms", "survived_1000ms")
 
 
-def rounded(q: float) -> Column:
-    """The index (n - 1) x q, half to even."""
-    return F.least(F.col("_n") - 1, F.bround((F.col("_n") - 1) * q, 0).cast("long"))
-
-
 def leg_liquidity(books: DataFrame) -> DataFrame:
     """Of each leg: rows, median depth of the top levels, spread p50 and p90 at the rounded index (spreads below 0 left out)."""
     size = sum((F.coalesce(F.col(f"{s}_sz_{i}"), F.lit(0.0)) for s in ("bid", "ask") for i in range(1, LEVELS + 1)), F.lit(0.0))
     rows = books.select("leg", size.alias("depth"), F.round(F.col("best_ask") - F.col("best_bid"), 9).alias("spread"))
-    spreads = ranked_values(rows.filter("spread >= 0"), ["leg"], "spread", {"spread_p50": rounded(0.5), "spread_p90": rounded(0.9)})
+    spreads = ranked_values(rows.filter("spread >= 0"), ["leg"], "spread", {"spread_p50": rounded_place(0.5), "spread_p90": rounded_place(0.9)})
     return rows.groupBy("leg").agg(F.count("*").alias("rows")).join(linear(rows, ["leg"], "depth", {"median_depth": 0.5}), "leg").join(spreads, "leg", "left")
 
 
@@ -60,9 +55,8 @@ def against_baselines(new: DataFrame, baselines: list[DataFrame]) -> DataFrame:
 
 def scan_counters(detections: DataFrame) -> DataFrame:
     """One row: detections, those that qualify, probed and survived ones, and percentiles of the absolute skew at the floor index."""
-    floor = lambda pct: F.least(F.col("_n") - 1, F.floor(F.col("_n") * pct / 100))
     skews = detections.select(F.lit(0).alias("_k"), F.abs("skew_ms").alias("s"))
-    p = ranked_values(skews, ["_k"], "s", {f"skew_p{k}": floor(k) for k in (50, 95, 99)})
+    p = ranked_values(skews, ["_k"], "s", {f"skew_p{k}": floor_place(k) for k in (50, 95, 99)})
     base = detections.agg(F.lit(0).alias("_k"), F.count("*").alias("arbs_detected"), F.count_if("qualifies").alias("qualifying"), F.count_if(F.col("survived").isNotNull()).alias("survival_probes"), F.count_if("survived").alias("survived_confirmed"), F.round(F.max(F.abs("skew_ms")), 2).alias("skew_max"))
     return base.join(p, "_k", "left").drop("_k")
 

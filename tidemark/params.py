@@ -12,7 +12,7 @@ FEE_LEVELS = (0.01, 0.015, 0.02, 0.03)
 RUNGS_MS = (0, 25, 50, 100, 250, 500, 1000)
 TIERS_MS = (1000, 500, 250, 100, 25)
 SCORE_BY_TIER = {"survived_1000ms": 0.80, "survived_500ms": 0.50, "survived_250ms": 0.25, "expired_lt_250ms": 0.0}
-FILL_BY_TIER = SCORE_BY_TIER | {"survived_100ms": 0.05, "survived_25ms": 0.0}
+FILL_BY_TIER = {"survived_1000ms": 0.80, "survived_500ms": 0.50, "survived_250ms": 0.25, "survived_100ms": 0.05, "survived_25ms": 0.0, "expired_lt_250ms": 0.0}
 BASIS, TRANSIENT, UNUSABLE = "basis_suspect", "transient_candidate", "unusable"
 DIRECTIONS = ("a_yes_b_no", "a_no_b_yes")
 EPS = 1e-12
@@ -20,7 +20,7 @@ EPS = 1e-12
 
 @dataclass(frozen=True)
 class Gate:
-    """The practical-edge gate and what is built on it."""
+    """The practical-edge gate and what is built on it. The defaults are fixed values of the domain."""
 
     min_edge: float = 0.01
     max_skew_ms: float = 250.0
@@ -31,7 +31,7 @@ class Gate:
 
 @dataclass(frozen=True)
 class Executable:
-    """Scenario of the executable edge."""
+    """Scenario of the executable edge. The defaults are fixed values of the domain."""
 
     max_skew_ms: float = 250.0
     depth_haircut: float = 0.5
@@ -41,7 +41,7 @@ class Executable:
 
 @dataclass(frozen=True)
 class Value:
-    """Expected-value model."""
+    """Expected-value model. The defaults are fixed values of the domain."""
 
     apr: float = 0.05
     leg_failure: float = 0.10
