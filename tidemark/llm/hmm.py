@@ -8,7 +8,7 @@ tokens seen once, all to the unknown word if there are none), so that all probab
 
 Counts of words come through tidemark.llm.runs: each run sends its distinct words with its training counts and gets the
 totals. Baum-Welch runs over all training documents: every partition adds up expected counts by the forward-backward
-recursion, the sums are added by slices on the executors, and the driver sees STATES x (STATES + CLASSES + 1) numbers a
+recursion, the sums are added by number on the executors, and the driver sees STATES x (STATES + CLASSES + 1) numbers a
 round. The final pass computes exact likelihoods of all documents by the scaled forward recursion.
 
 Defined results: null and empty texts are one end; a null doc_id is a training document; rows repeat as they come (and
@@ -37,8 +37,6 @@ FOLDS, HELD = 7, 2
 END_KEY = np.uint64(xxhash.xxh64_intdigest(b"", 1))
 #: Tokens that walk through the recursions together.
 TOGETHER = 1_000_000
-#: Slices of the expected counts.
-SLICES = 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -217,17 +215,12 @@ def _expected(model: Model):
                 counts = expected(model, docs)
                 total = counts if total is None else total + counts
         if total is not None:
-            parts = np.array_split(total, SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], names=["at", "n"])
 
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c) for c in table.column("counts").to_pylist())
-    return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def _scores(model: Model, n_train: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,8 +248,9 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, run_byte
     model = Model.first(weight, states)
     train = encoded.filter("NOT held_out").select("classes")
     for _ in range(rounds if total else 0):
-        parts = train.mapInArrow(lean_batches(_expected(model)), "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary")
-        got = sorted((r["slice"], bytes(r["counts"])) for r in parts.collect())  # SLICES rows
-        model = Model.of_counts(np.concatenate([np.frombuffer(c) for _, c in got]), weight, states)
+        got = train.mapInArrow(lean_batches(_expected(model)), "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        flat = np.zeros(states + states**2 + states * CLASSES)  # as many rows come at most
+        flat[got.column("at").to_numpy()] = got.column("n").to_numpy()
+        model = Model.of_counts(flat, weight, states)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "inside", "classes").mapInArrow(lean_batches(_scores(model, total)), schema)
