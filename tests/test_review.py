@@ -85,3 +85,17 @@ def test_scenarios_and_clocks(spark):
         params.scenarios({"executable": {}})
     x = spark.range(1).select(clocks.offset_ms(F.lit(10.0), F.lit(9.5), F.lit(9.6), F.lit(10.3)), clocks.offset_ms(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(1.0)), clocks.cadence_s(F.lit(5), F.lit(8.0)), clocks.cadence_s(F.lit(1), F.lit(8.0))).first()
     assert x[0] == pytest.approx(600.0) and x[1] is None and x[2] == 2.0 and x[3] is None
+
+
+def test_profitable_depth_under_the_fees_of_each_overlap(spark):
+    from tidemark.operators import edges as E
+
+    ladder = {f"ap{i}": 0.40 + 0.02 * i for i in range(1, 6)} | {f"bp{i}": 0.40 + 0.02 * i for i in range(1, 6)} | {f"{n}h{i}": 10.0 * i for n in "ab" for i in range(1, 6)}
+    row = spark.createDataFrame([(0,)], "x int").select(F.struct(*(F.lit(v).alias(k) for k, v in ladder.items())).alias("d"))
+    flat = E.depth(row, 0.02, 1.0).first()["max_profitable_size"]
+    unit = lambda c: fees.round_trip_per_unit(F.lit(fees.TAKER_E4), F.lit(0), c["pa"], c["pb"], c["hi"] - c["lo"])
+    real = E.depth(row, unit, 1.0).first()["max_profitable_size"]
+    import math
+
+    want = sum(10.0 for i in range(1, 6) if 1 - 2 * (0.40 + 0.02 * i) - math.ceil(round(7 * 10 * round(0.40 + 0.02 * i, 2) * (1 - round(0.40 + 0.02 * i, 2)), 6)) / 100 / 10 > 1e-12)
+    assert flat == 40.0 and real == want

@@ -148,3 +148,9 @@ def recorded_rate(rates: DataFrame, key: str, asked_at: str, ttl_hours: float =
     last = F.last(fresh, ignorenulls=True).over(before)
     live = F.col(asked_at) - F.col("_last.at") < ttl_hours * 3600
     return rates.withColumn("_last", last).withColumn("bps", F.when(live, F.col("_last.bps")).otherwise(FALLBACK_BPS)).withColumn("source", F.when(live, "api").otherwise("fallback")).drop("_last")
+
+
+def override_columns(raw_edge: Column, multiplier_e4: Column, bps: Column, price_a: Column, price_b: Column, target: Column, version: str) -> dict[str, Column]:
+    """Columns of an edge under real fees: the edge after them, their model's version and dollars at the target size."""
+    unit = round_trip_per_unit(multiplier_e4, bps, price_a, price_b, target)
+    return {"fee_adj_edge": raw_edge - unit, "fee_model_version": F.lit(version), "fee_usd_at_target": unit * target}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,16 @@ def _summed(f) -> Column:
     return F.aggregate("chunks", F.lit(0.0), lambda n, c: n + f(c))
 
 
-def depth(rows: DataFrame, fee: float, target: float) -> DataFrame:
-    """Adds filled, cost_a, cost_b (up to the target) and max_profitable_size (all profitable overlaps, not a prefix)."""
+def depth(rows: DataFrame, fee: float | Callable[[Column], Column], target: float) -> DataFrame:
+    """Adds filled, cost_a, cost_b (up to the target) and max_profitable_size (all profitable overlaps, not a prefix).
+
+    fee: a flat one, or what a unit of an overlap (lo, hi, pa, pb) costs at its prices.
+    """
+    cost = fee if callable(fee) else lambda c: F.lit(fee)
     chunks = F.expr(f"filter(array({_overlaps()}), c -> c.hi - c.lo > {P.EPS:.20f})")
     taken = lambda c: F.greatest(F.lit(0.0), F.least(c["hi"], F.lit(target)) - c["lo"])
     out = rows.withColumn("chunks", chunks)
-    good = _summed(lambda c: F.when(F.lit(1.0) - (c["pa"] + c["pb"]) - F.lit(fee) > 0, c["hi"] - c["lo"]).otherwise(0.0))
+    good = _summed(lambda c: F.when(F.lit(1.0) - (c["pa"] + c["pb"]) - cost(c) > 0, c["hi"] - c["lo"]).otherwise(0.0))
     return out.select("*", _summed(taken).alias("filled"), _summed(lambda c: taken(c) * c["pa"]).alias("cost_a"), _summed(lambda c: taken(c) * c["pb"]).alias("cost_b"), good.alias("max_profitable_size")).drop("chunks")
 
 

@@ -180,3 +180,15 @@ SELECT o_orderkey, CASE WHEN NOT market_ok THEN 'market_info_unavailable' WHEN N
  CASE WHEN market_ok AND rate_ok AND b >= 0 AND t >= 0 AND b = t THEN CASE WHEN b = 0 THEN 0.0 WHEN r > 0 THEN r END END AS fee_rate FROM n""")
 def fee_cross_check(spark, sf):
     return fees.cross_checked(_read(spark, sf, "orders").selectExpr("o_orderkey", *_cols(_META))).select("o_orderkey", "reason", "fee_rate")
+
+
+_TRADE = "SELECT l_orderkey, l_linenumber, round(0.05 + l_discount * 3, 2) AS pa, round(0.9 - l_tax * 5, 2) AS pb, CAST(l_quantity * 1.25 AS DOUBLE) AS size, l_suppkey * 10 AS bps FROM lineitem"
+
+
+@query(f"""WITH t AS ({_TRADE}), f AS (SELECT *, ceil(round(7 * ceil(size) * CAST(pa AS DECIMAL(4, 2)) * (1 - CAST(pa AS DECIMAL(4, 2))), 6)) / 100.0 + size * bps / 10000.0 * least(pb, 1 - pb) AS fee FROM t)
+SELECT l_orderkey, l_linenumber, round(1 - pa - pb - fee / size, 9) + 0.0 AS fee_adj_edge, 'formula:v1' AS fee_model_version, round(fee, 9) AS fee_usd_at_target FROM f""")
+def real_fee_columns(spark, sf):
+    c = F.col
+    t = _read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(0.05 + c("l_discount") * 3, 2).alias("pa"), F.round(0.9 - c("l_tax") * 5, 2).alias("pb"), (c("l_quantity") * 1.25).cast("double").alias("size"), (c("l_suppkey") * 10).alias("bps"))
+    out = t.select("l_orderkey", "l_linenumber", *(x.alias(n) for n, x in fees.override_columns(1 - c("pa") - c("pb"), F.lit(fees.TAKER_E4), c("bps"), c("pa"), c("pb"), c("size"), "formula:v1").items()))
+    return out.withColumns({n: F.round(n, 9) + 0.0 for n in ("fee_adj_edge", "fee_usd_at_target")})  # no negative zeros
