@@ -334,7 +334,7 @@ def standard_edges(spark, sf):
     return out.withColumns({"est_fees": F.round("est_fees", 9), "est_profit": F.round("est_profit", 9)}).drop("freshness_status")
 
 
-@query("""SELECT o_orderkey, CASE WHEN p <= 25 THEN 0.1 WHEN p <= 250 THEN 0.25 WHEN p <= 1000 THEN 0.8 ELSE 0.0 END AS survival_p, s = 'F' AS viable, q OR k <> 0 AS is_probe, greatest(TRY_CAST(x AS DOUBLE), TRY_CAST(y AS DOUBLE)) AS most,
+@query("""SELECT o_orderkey, CASE WHEN p <= 25 THEN 0.1 WHEN p <= 250 THEN 0.25 WHEN p <= 1000 THEN 0.8 ELSE 0.0 END::DOUBLE AS survival_p, s = 'F' AS viable, q OR k <> 0 AS is_probe, greatest(TRY_CAST(x AS DOUBLE), TRY_CAST(y AS DOUBLE)) AS most,
  greatest(0.5 * CASE WHEN k <> 0 AND q THEN least(k, p) ELSE p END, 0) AS fill FROM (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS p, o_orderstatus AS s, o_custkey % 2 = 0 AS q, o_custkey % 5 AS k, o_orderpriority AS x, CAST(o_custkey AS VARCHAR) AS y FROM orders)""")
 def scanner_scalars(spark, sf):
     c = F.col
