@@ -130,7 +130,7 @@ def normal_markets_b(spark, sf):
     return D.venue_b(events, F.lit("2024-01-01 00:00:00").cast("timestamp")).select("market_id", "event_id", "slug", F.round("spread", 9).alias("spread"), F.round("best_no_bid", 9).alias("best_no_bid"), "no_token_id", "reject_reason")
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, (l_linenumber - 1) * 0.2 AS price, l_quantity - 3 AS size FROM lineitem)
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, (l_linenumber - 1) * 0.2::DOUBLE AS price, l_quantity - 3 AS size FROM lineitem)
 SELECT l_orderkey, max(CASE WHEN price > 0 AND price < 1 AND size > 0 THEN round(price, 9) END) AS best_bid, min(CASE WHEN price > 0 AND price < 1 AND size > 0 THEN round(price, 9) END) AS best_ask, coalesce(sum(CASE WHEN price > 0 AND price < 1 AND size > 0 THEN size END), 0.0) AS ask_depth FROM l GROUP BY 1""")
 def payload_metrics(spark, sf):
     """Book metrics of a payload: an order's lines are the levels of both sides."""
