@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import release as release_shuffles
 from tidemark.sources.scratch import scratch_dir, stored
 
-__all__ = ["SPACE", "documents", "id_and_text", "lean", "lean_batches", "pieces", "release", "scratch_dir", "stored", "text_bytes"]
+__all__ = ["SPACE", "documents", "id_and_text", "lean", "lean_batches", "pieces", "release", "release_shuffles", "scratch_dir", "stored", "text_bytes"]
 
 #: White space between words: U+0020 and U+0009 to U+000D. bytes.split() uses the same six characters.
 SPACE = r"[\x20\x09-\x0D]"

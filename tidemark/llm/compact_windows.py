@@ -34,12 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lean, lean_batches, pieces, stored
+from tidemark.llm.common import lean, lean_batches, pieces, release_shuffles, stored
 from tidemark.llm.components import components
 from tidemark.llm.runs import _sliding, bucket_bounds, in_runs, mixed, pack, unpack, with_answers
 
@@ -50,6 +51,8 @@ PASSAGE = 46
 OWN = PASSAGE - math.ceil(2 * SIMILARITY / (1 + SIMILARITY) * PASSAGE - 1e-9)
 #: Tokens of the earlier document, on each side, within which an aligned passage may have shifted.
 SLACK = 8
+#: Bytes of spans that go to every executor instead of moving the texts.
+FEW = 32_000_000
 #: Bits of a token that do not travel to be compared: passages are compared one by one, for which 48 bits tell shingles apart.
 SPARED = np.uint64(16)
 #: Bytes of text in a run.
@@ -531,16 +534,25 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RESULT)], schema=_RESULT)
 
 
+def _served_work(table: pa.Table, work: pa.Table) -> pa.Table:
+    return _served(table, work.filter(pc.equal(work.column("kind"), 0)))
+
+
+def _judged_work(work: pa.Table, replies: pa.Table) -> pa.Table:
+    return _judged(work.filter(pc.equal(work.column("kind"), 1)), replies)
+
+
 def passages(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """doc_id, n_words, spans (words of passages that near-duplicate earlier ones, from 0, last included), repeats_of, text_md5."""
     runs, n = in_runs(docs, run_bytes)
     buckets = pieces(n, 2)
     counted = runs.groupBy("run").applyInArrow(lean(_distinct(buckets)), _ROWS).groupBy("bucket").applyInArrow(lean(_counted), "run int, bucket int, blob binary")
     replies = with_answers(runs, counted, _windows(buckets), _ROWS).groupBy("bucket").applyInArrow(lean(_met), "run int, bucket int, blob binary")
-    work = stored(with_answers(runs, replies, _proposed(n), _WORK), "kind")
-    requests = work.filter("kind = 0").select("run", "bucket", "blob")
-    served = with_answers(runs, requests, _served, "run int, bucket int, blob binary")
-    return with_answers(work.filter("kind = 1").select("run", "blob"), served, _judged, _RESULT_DDL)
+    # Requests are dealt by the run they ask, states by their own: one exchange serves both readers, and as all is one job
+    # the documents are dealt once.
+    work = with_answers(runs, replies, _proposed(n), _WORK)
+    served = with_answers(runs, work, _served_work, "run int, bucket int, blob binary")
+    return with_answers(work, served, _judged_work, _RESULT_DDL)
 
 
 def near_duplicate_passages(docs: DataFrame) -> DataFrame:
@@ -583,7 +595,12 @@ def cut(docs: DataFrame) -> DataFrame:
     repeat both lose the same. Rows without an id, with a null text or without passages stay as they are; so does an empty table.
     """
     marked = passages(docs).filter("size(spans) > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("spans").alias("_spans"))
-    marked = marked.dropDuplicates(["_id", "_md5"])
+    marked = stored(marked.dropDuplicates(["_id", "_md5"]))
+    release_shuffles(docs.sparkSession)
+    # Texts need not move if the spans are few; beyond that both sides meet by key.
+    size = marked.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_spans")), F.lit(0)).alias("spans")).first()
+    if 100 * size["rows"] + 16 * size["spans"] <= FEW:
+        marked = F.broadcast(marked)
     rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_doc"), F.unhex(F.md5(docs["text"])).alias("_of"), docs["text"].alias("_text"))
     joined = rows.join(marked, (F.col("_doc") == F.col("_id")) & (F.col("_of") == F.col("_md5")), "left").select("_row", F.col("_text").alias("text"), F.col("_spans").alias("spans"))
     done = joined.mapInArrow(lean_batches(_cut), joined.schema)

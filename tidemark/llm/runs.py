@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, lean, pieces, text_bytes
+from tidemark.llm.common import id_and_text, lean, pieces, release_shuffles, text_bytes
 
 RUN_BYTES = 8_000_000
 
@@ -34,6 +34,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def in_runs(docs: DataFrame, each: int = RUN_BYTES, *more: Column) -> tuple[DataFrame, int]:
     """(run, doc_id, text, more...) and the number of runs. Rows without an id are spread by their text."""
+    release_shuffles(docs.sparkSession)  # those of an earlier stage
     n = pieces(text_bytes(docs), each)
     rows = id_and_text(docs)
     key = F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")))

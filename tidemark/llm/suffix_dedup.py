@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lean, pieces, stored
+from tidemark.llm.common import lean, pieces, release_shuffles, stored
 from tidemark.llm.runs import answers, ask, bucket_bounds, in_runs, minimizers, mixed, pack, unpack, with_answers
 
 LENGTH, GRAM = 100, 50
@@ -455,6 +455,7 @@ def repeated_bytes(docs: DataFrame, run_bytes: int = RUN_BYTES, hot: int = HOT)
     runs, n = in_runs(docs, run_bytes)
     n_buckets = pieces(n, 2)
     work = stored(with_answers(runs, ask(runs, n_buckets, _grams, _repeated(hot)), _suffixes(n_buckets), _WORK), "kind")
+    release_shuffles(docs.sparkSession)
     told = work.filter("kind = 0").select("run", "bucket", "blob").groupBy("bucket").applyInArrow(lean(_merge), "run int, bucket int, answer binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return with_answers(work.filter("kind = 1").select("run", "blob"), told, _removed, schema)
