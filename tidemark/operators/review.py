@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.registry import PAIR
+from tidemark.sources.soaks import content
 
 #: Statuses that may be recorded, equivalences that may be approved, scopes that only test connections,
 #: labels of regions in tickers, verdicts of audits, and the keywords of resolution structures from the most doubtful on.
@@ -25,13 +25,13 @@ MAX_CUTOFF_HOURS, LONG_DAYS = 1.0, 90.0
 def load(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
     """The pairs of a registry document (JSON, or YAML where a parser is there) whose recorded SHA-256 must match.
 
-    A registry is a small document that the driver reads; a missing or other digest is an error.
+    A registry is a small document that the driver reads, from any path that Spark reads; a missing or other digest is an error.
     """
-    with open(path, "rb") as f:
-        raw = f.read()
+    raw = content(spark, path)
+    if raw is None:
+        raise FileNotFoundError(path)
     if verify:
-        side = path + ".sha256"
-        known = open(side).read().split()[:1] if os.path.exists(side) else []
+        known = (content(spark, path + ".sha256") or b"").decode().split()[:1]
         if known != [hashlib.sha256(raw).hexdigest()]:
             raise ValueError(f"integrity check failed: {path}")
     try:

@@ -27,6 +27,12 @@ def listed(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
     return sorted((s.getPath().toString(), s.isDirectory(), s.getLen()) for s in fs.listStatus(p))
 
 
+def content(spark: SparkSession, path: str) -> bytes | None:
+    """The bytes of a small file, None if it is not there."""
+    fs, p = _fs(spark, path)
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"]) if fs.exists(p) else None
+
+
 def files(spark: SparkSession, path: str, suffix: str = ".jsonl") -> list[tuple[str, int]]:
     """(path, bytes) of all files below a folder with the ending, by path."""
     out = []
@@ -75,11 +81,11 @@ def evidence(spark: SparkSession, path: str, derive: Callable[[DataFrame], DataF
 
 
 def _json(spark: SparkSession, path: str) -> dict:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
+    raw = content(spark, path)
+    if raw is None:
         return {}
     try:
-        value = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # a manifest
+        value = json.loads(raw)
     except ValueError:
         return {}
     return value if isinstance(value, dict) else {}
