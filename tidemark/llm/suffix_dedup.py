@@ -30,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lean, pieces, release_shuffles, stored
+from tidemark.llm.common import lean, pieces
 from tidemark.llm.runs import answers, ask, bucket_bounds, in_runs, minimizers, mixed, pack, unpack, with_answers
 
 LENGTH, GRAM = 100, 50
@@ -411,6 +412,7 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"run": table.column("run"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
 
 
+_ANSWER = pa.schema([("run", pa.int32()), ("bucket", pa.int32()), ("answer", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -450,12 +452,23 @@ def _removed(states: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.table([ids, pa.array(size), pa.array(n_removed), pa.array(n_spans), pa.array(sha, pa.string())], schema=_RESULT)
 
 
+def _merge_work(work: pa.Table) -> pa.Table:
+    """The merge of a bucket; a run's own state has nothing to merge."""
+    own = work.filter(pc.equal(work.column("kind"), 0))
+    return _merge(own) if own.num_rows else _ANSWER.empty_table()
+
+
+def _removed_work(work: pa.Table, replies: pa.Table) -> pa.Table:
+    return _removed(work.filter(pc.equal(work.column("kind"), 1)), replies)
+
+
 def repeated_bytes(docs: DataFrame, run_bytes: int = RUN_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     runs, n = in_runs(docs, run_bytes)
     n_buckets = pieces(n, 2)
-    work = stored(with_answers(runs, ask(runs, n_buckets, _grams, _repeated(hot)), _suffixes(n_buckets), _WORK), "kind")
-    release_shuffles(docs.sparkSession)
-    told = work.filter("kind = 0").select("run", "bucket", "blob").groupBy("bucket").applyInArrow(lean(_merge), "run int, bucket int, answer binary")
+    work = with_answers(runs, ask(runs, n_buckets, _grams, _repeated(hot)), _suffixes(n_buckets), _WORK)
+    # Suffixes are dealt by bucket and states by run, in one exchange that both readers share, so all is one job.
+    work = work.withColumn("to", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(n_buckets + F.col("run")))
+    told = work.groupBy("to").applyInArrow(lean(_merge_work), "run int, bucket int, answer binary").withColumn("to", n_buckets + F.col("run"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return with_answers(work.filter("kind = 1").select("run", "blob"), told, _removed, schema)
+    return work.groupBy("to").cogroup(told.groupBy("to")).applyInArrow(lean(_removed_work), schema)
