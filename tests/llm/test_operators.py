@@ -234,6 +234,19 @@ def test_hot_buckets_lose_nothing(spark, monkeypatch):
         assert roots.get(x, x) == min(seen)
 
 
+def test_no_table_of_all_keys_is_broadcast(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        fps = simhash.stored(spark.range(20_000).select("id", F.md5(F.col("id").cast("string")).cast("binary").alias("row_key"), F.shiftleft("id", 20).alias("fp")))
+        dealt = simhash._dealt(simhash._keys(fps.select("fp").distinct()))
+        dealt.count()
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}

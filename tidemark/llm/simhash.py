@@ -180,7 +180,9 @@ def _keys(nodes: DataFrame) -> DataFrame:
 def _dealt(keys: DataFrame) -> DataFrame:
     """(key, sub, fp): hot buckets once for each pair of the four bytes that are left, others with sub -1."""
     counted = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    known = keys.join(counted, "key")  # buckets of one go
+    # Never by broadcast: Spark takes the six exploded rows of a fingerprint for one and a fraction of the stored file, so
+    # under its default threshold tens of millions of rows would go to the driver.
+    known = keys.hint("merge").join(counted, "key")  # buckets of one go
     subs = [F.lit(t * 2**16) + (F.shiftleft(_part(F.col("rest"), 8 * x, 8), 8).bitwiseOR(_part(F.col("rest"), 8 * y, 8))).cast("int") for t, (x, y) in enumerate(combinations(range(4), 2))]
     return known.select("key", F.explode(F.when(F.col("n") > HOT, F.array(*subs)).otherwise(F.array(F.lit(-1)))).alias("sub"), "fp")
 
