@@ -14,8 +14,12 @@ that), rare ones first: a passage with too many tokens of its own needs no compa
 A token that is among the least of some passages around it stands for their interval of starts (a compact window).
 Windows of one token meet in a bucket. Those that are equal but for tokens that occur nowhere else are alike to each other
 and to the same others, so they are folded to their first holder (smallest doc_id, then start) and ask it alone; every
-other window asks all earlier first holders of its token. Each candidate is verified by the exact Jaccard similarity of
-the shingle sets, SIMILARITY or more.
+other window asks all earlier first holders of its token, or, where those are more than MANY, a few of them. Each
+candidate is verified by the exact Jaccard similarity of the shingle sets, SIMILARITY or more.
+
+A second round asks the rest where an answer could change the result. What the first one found gives each document its
+words and its class so far; a window whose words are all told asks only holders of other classes, every other one asks all
+earlier holders. So near copies of one another, however many, don't all meet in pairs, and no word and no class is lost.
 
 The words of a verified passage repeat an earlier passage: earlier by doc_id, or in the same document without overlap.
 
@@ -42,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lean, lean_batches, pieces, release_shuffles, stored
 from tidemark.llm.components import components
-from tidemark.llm.runs import _sliding, bucket_bounds, in_runs, mixed, pack, unpack, with_answers
+from tidemark.llm.runs import _sliding, bucket_bounds, dealt, in_runs, mixed, pack, unpack, with_answers
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Tokens of the shortest passage: 50 words.
@@ -55,6 +59,10 @@ SLACK = 8
 FEW = 32_000_000
 #: Bits of a token that do not travel to be compared: passages are compared one by one, for which 48 bits tell shingles apart.
 SPARED = np.uint64(16)
+#: Earlier first holders of a token that a window asks in the first round; of more it asks EARLIEST, those that most windows equal, and the NEAREST before it.
+MANY, EARLIEST, EQUALLED, NEAREST = 8, 2, 3, 3
+#: Pairs of windows that are compared at once in the second round.
+AT_ONCE = 1 << 21
 #: Bytes of text in a run.
 RUN_BYTES = 4_000_000
 _STEPS = [np.uint64(xxhash.xxh64_intdigest(b"place", k) | 1) for k in range(SHINGLE)]
@@ -243,48 +251,86 @@ def _windows(n_buckets: int):
     return run
 
 
-def met(key: np.ndarray, content: np.ndarray, doc: np.ndarray, at: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(asking window, earlier window) of one key: its content's first holder, or else every content's earlier first holder.
+def apart(doc: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether window b is earlier than a: in a smaller doc_id, or in the same document without overlap."""
+    return (doc[b] < doc[a]) | ((doc[b] == doc[a]) & (at[b] <= at[a] - PASSAGE))
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each, size of them."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
+def met(key: np.ndarray, content: np.ndarray, doc: np.ndarray, at: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(asking window, earlier window) of one key, then which windows are first holders and which have more to ask.
 
+    A window asks its content's first holder, or else every content's earlier first holder; of more than MANY only some.
     Sorted by (key, doc, at). Only rows that are the first of their id (lead) are asked.
     """
     n = len(key)
     order = np.lexsort((np.arange(n), ~lead, content, key))
     fresh = np.r_[True, (np.diff(content[order]) != 0) | (np.diff(key[order]) != 0)][:n]
-    first = np.empty(n, np.int64)
-    first[order] = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-
-    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (doc[b] < doc[a]) | ((doc[b] == doc[a]) & (at[b] <= at[a] - PASSAGE))
-
+    heads = order[np.flatnonzero(fresh)]
+    group = np.empty(n, np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    first = heads[group]
     every = np.arange(n)
-    known = lead[first] & apart(every, first)
+    known = lead[first] & apart(doc, at, every, first)
     # All first holders of a key before a place, for windows whose own first holder is none.
     is_first = lead & (first == every)
-    so_far = np.cumsum(is_first) - is_first
+    so_far, firsts = np.cumsum(is_first) - is_first, np.flatnonzero(is_first)
     begin = so_far[np.searchsorted(key, key, side="left")]
     asking = np.flatnonzero(~known)
     size = so_far[asking] - begin[asking]
-    a = np.repeat(asking, size)
-    b = np.flatnonzero(is_first)[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[asking], size)]
-    keep = apart(a, b)
-    return np.concatenate((every[known], a[keep])), np.concatenate((first[known], b[keep]))
+    more = np.zeros(n, bool)
+    more[asking[size > MANY]] = True
+    few, some = asking[size <= MANY], asking[size > MANY]
+    a = [np.repeat(few, size[size <= MANY])]
+    b = [firsts[ranges(begin[few], size[size <= MANY])]]
+    for k in range(EARLIEST):
+        a.append(some)
+        b.append(firsts[begin[some] + k])
+    for k in range(NEAREST):
+        a.append(some)
+        b.append(firsts[so_far[some] - 1 - k])
+    # First holders by how many windows equal them, most first, the keys in their order.
+    ranked = firsts[np.lexsort((firsts, -np.bincount(group, minlength=len(heads))[group[firsts]], key[firsts]))]
+    for k in range(EQUALLED):
+        a.append(some)
+        b.append(ranked[begin[some] + k])
+    pair = np.unique(np.concatenate(a) * n + np.concatenate(b)) if n else np.zeros(0, np.int64)
+    a, b = pair // max(1, n), pair % max(1, n)
+    keep = apart(doc, at, a, b)
+    return np.concatenate((every[known], a[keep])), np.concatenate((first[known], b[keep])), is_first, more
+
+
+_MET = "run int, bucket int, kind int, blob binary"
 
 
 def _met(table: pa.Table) -> pa.Table:
+    """Questions (kind 0), and the windows of keys where some have more to ask (kind 1), to the runs that hold them."""
     got = [unpack(b) for b in table.column("blob").to_pylist()]
     key = np.concatenate([np.cumsum(g["step"], dtype=np.uint64) for g in got])
     c = {k: np.concatenate([g[k] for g in got]) for k in got[0]} | {"run": np.repeat(np.array(table.column("run").to_pylist()), [len(g["d"]) for g in got])}
     order = np.lexsort((~c["lead"].astype(bool), c["at"], c["doc"], key))
     key, c = key[order], {k: v[order] for k, v in c.items()}
-    a, b = met(key, c["content"], c["doc"], c["at"], c["lead"].astype(bool))
+    a, b, is_first, more = met(key, c["content"], c["doc"], c["at"], c["lead"].astype(bool))
+    open_key = np.zeros(len(key), bool)
+    fresh = np.flatnonzero(np.r_[True, np.diff(key) != 0])
+    open_key = np.repeat(np.logical_or.reduceat(more, fresh), np.diff(np.r_[fresh, len(key)]))
+    left = np.flatnonzero(open_key & (is_first | more))
+    left = left[np.argsort(c["run"][left], kind="stable")]
     order = np.lexsort((c["at"][a], c["doc"][b], c["d"][a], c["run"][a]))
     a, b = a[order], b[order]
     run, bucket, rows = c["run"][a], table.column("bucket")[0].as_py(), []
     for r in np.unique(run).tolist():
         i, j = np.searchsorted(run, [r, r + 1])
-        rows.append((r, bucket, pack({k: c[k][a[i:j]] for k in ("d", "at", "before", "behind")} | {"other": c["doc"][b[i:j]], "other_at": c["at"][b[i:j]]})))
-    return _rows(rows, "run", "bucket", "blob")
+        rows.append((r, bucket, 0, pack({k: c[k][a[i:j]] for k in ("d", "at", "before", "behind")} | {"other": c["doc"][b[i:j]], "other_at": c["at"][b[i:j]]})))
+    run = c["run"][left]
+    for r in np.unique(run).tolist():
+        w = left[slice(*np.searchsorted(run, [r, r + 1]))]
+        rows.append((r, bucket, 1, pack({"step": np.diff(key[w], prepend=np.uint64(0)), "first": is_first[w], "more": more[w]} | {k: c[k][w] for k in ("doc", "d", "at", "before", "behind")})))
+    return _rows(rows, "run", "bucket", "kind", "blob")
 
 
 _WORK = "kind int, run int, bucket int, blob binary"
@@ -341,14 +387,23 @@ def _proposed(n_runs: int):
         rows: list[tuple[int, int, int, bytes]] = []
         if table.num_rows:
             s = Shingles(table)
-            told = [unpack(b) for b in replies.column("blob").to_pylist()]
+            left = replies.filter(pc.equal(replies.column("kind"), 1))
+            told = [unpack(b) for b in replies.filter(pc.equal(replies.column("kind"), 0)).column("blob").to_pylist()]
+            again = bool(told) and "nth" in told[0]  # in the second round a document is known by its id and its place among rows of that id
+            if again:
+                held = s.doc_id[s.held]
+                told = [t | {"d": np.searchsorted(held, t["doc"]) + t["nth"]} for t in told]
             found = candidates({k: np.concatenate([t[k] for t in told]) for k in told[0]}) if told else []
             own = sorted({c[0] for c in found})
             asked, at = merged_ranges(found)
             state = {
                 "doc_id": s.doc_id, "held": s.held, "text_md5": s.text_md5, "n_words": s.n_words, "found": found, "at": at,
                 "tokens": {d: s.tokens[s.start[d] : s.start[d] + s.size[d]] >> SPARED for d in own},
+                "left": list(zip(left.column("bucket").to_pylist(), left.column("blob").to_pylist())),
             }
+            if again:
+                strange = {x for t in told for x in zip(t["d"][~t["same"]].tolist(), t["other"][~t["same"]].tolist())}
+                state["same"] = [(c[0], c[3]) not in strange for c in found]
             rows.append((1, s.run, -1, zstandard.compress(pickle.dumps(state, protocol=5), 3)))
             if len(asked):
                 to = run_of(asked[:, 0], n_runs)
@@ -486,8 +541,13 @@ _RESULT_DDL = "doc_id long, n_words long, spans array<struct<first_word:long,las
 
 
 def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
+    return _judged_and_left(states, replies)[0]
+
+
+def _judged_and_left(states: pa.Table, replies: pa.Table) -> tuple[pa.Table, list[tuple[int, bytes]]]:
+    """What is found, and by bucket the windows that have more to ask or may be asked."""
     if not states.num_rows:
-        return _RESULT.empty_table()
+        return _RESULT.empty_table(), []
     s = pickle.loads(zstandard.decompress(states.column("blob")[0].as_py()))
     got: dict[int, np.ndarray] = {}
     for blob in replies.column("blob").to_pylist():
@@ -499,6 +559,7 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
     sources: dict[int, set[int]] = {}
     linked: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     covered = {d: np.zeros(len(t), bool) for d, t in s["tokens"].items()}
+    same = s.get("same", [False] * len(s["found"]))  # of one class by the first round: only words can come, no link
     for k, (d, first, last, other, shift, _, low, _) in enumerate(s["found"]):
         row, begin, end = s["at"][k]
         theirs = got[row][begin:end] if row in got else ()
@@ -509,7 +570,7 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
         heads, known, all_told = linked.setdefault(d, []), sources.setdefault(d, set()), bool(covered[d][first : last + PASSAGE].all())
         # A document that repeats a linked one here is linked to it by itself. Where all tokens are told already and no
         # link can come, verifying could not change anything.
-        represented = other in known
+        represented = other in known or same[k]
         if all_told:
             represented = represented or any(x <= last and first <= y and repeats(theirs, there) for x, y, there in heads)
             if represented:
@@ -518,7 +579,7 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
         spans.setdefault(d, set()).update((a, b + SHINGLE - 1) for a, b in found)
         for a, b in found:
             covered[d][a:b] = True
-        if found and other not in known and (all_told or not any(x <= last and first <= y and repeats(theirs, there) for x, y, there in heads)):
+        if found and not same[k] and other not in known and (all_told or not any(x <= last and first <= y and repeats(theirs, there) for x, y, there in heads)):
             known.add(other)
             heads.append((first, last, theirs))
     rows = []
@@ -531,38 +592,189 @@ def _judged(states: pa.Table, replies: pa.Table) -> pa.Table:
                 joined.append([a, b])
         i = int(s["doc_id"][d]) if s["held"][d] else None
         rows.append((i, int(s["n_words"][d]), [{"first_word": a, "last_word": b - 1} for a, b in joined], sorted(sources.get(d, ())), s["text_md5"][d]))
-    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RESULT)], schema=_RESULT)
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RESULT)], schema=_RESULT), _left(s, covered)
+
+
+def _left(s: dict, covered: dict[int, np.ndarray]) -> list[tuple[int, bytes]]:
+    out, held = [], s["doc_id"][np.asarray(s["held"], bool)]
+    untold = {d: np.concatenate((np.zeros(1, np.int64), np.cumsum(~c))) for d, c in covered.items()}
+    for bucket, blob in s.get("left", ()):
+        w = unpack(blob)
+        at, told = w["at"].astype(np.int64), np.zeros(len(w["d"]), bool)
+        first, last = at - w["before"], at - w["behind"] + PASSAGE
+        order = np.argsort(w["d"], kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(w["d"][order]) != 0])
+        for k in np.split(order, cuts[1:]):
+            u = untold.get(int(w["d"][k[0]]))
+            if u is not None:
+                told[k] = u[last[k]] == u[first[k]]
+        nth = (w["d"] - np.searchsorted(held, w["doc"])).astype(np.int32)
+        out.append((bucket, pack({k: w[k] for k in ("step", "first", "more", "doc", "at", "before", "behind")} | {"nth": nth, "told": told})))
+    return out
 
 
 def _served_work(table: pa.Table, work: pa.Table) -> pa.Table:
     return _served(table, work.filter(pc.equal(work.column("kind"), 0)))
 
 
+_FOUND = pa.schema([*_RESULT, ("run", pa.int32()), ("bucket", pa.int32()), ("left", pa.binary())])
+_FOUND_DDL = f"{_RESULT_DDL}, run int, bucket int, left binary"
+
+
 def _judged_work(work: pa.Table, replies: pa.Table) -> pa.Table:
-    return _judged(work.filter(pc.equal(work.column("kind"), 1)), replies)
+    """A row for each document, and rows that hold no document but the windows left for a bucket."""
+    states = work.filter(pc.equal(work.column("kind"), 1))
+    found, left = _judged_and_left(states, replies)
+    run = states.column("run")[0].as_py() if states.num_rows else None
+    n, m = found.num_rows, len(left)
+    columns = {f.name: pa.chunked_array([*found.column(f.name).chunks, pa.nulls(m, f.type)], f.type) for f in _RESULT}
+    more = {"run": [run] * (n + m), "bucket": [None] * n + [b for b, _ in left], "left": [None] * n + [x for _, x in left]}
+    return pa.table(columns | {k: pa.array(v, _FOUND.field(k).type) for k, v in more.items()}, schema=_FOUND)
+
+
+def _classed(left: pa.Table, classes: pa.Table) -> pa.Table:
+    """The windows left, with the class of their document: its own id where it is linked to no smaller one."""
+    known = classes.sort_by("_id")
+    ids, roots = (known.column(k).to_numpy().astype(np.int64) for k in ("_id", "root"))
+    rows = []
+    for run, bucket, blob in zip(*(left.column(k).to_pylist() for k in ("run", "bucket", "left"))):
+        w = unpack(blob)
+        own = w["doc"]
+        if len(ids):
+            k = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            own = np.where(ids[k] == own, roots[k], own)
+        rows.append((bucket, run, pack(w | {"of": own})))
+    return _rows(rows, "bucket", "run", "blob")
 
 
-def passages(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (words of passages that near-duplicate earlier ones, from 0, last included), repeats_of, text_md5."""
+def left_over(key: np.ndarray, of: np.ndarray, doc: np.ndarray, at: np.ndarray, first: np.ndarray, more: np.ndarray, told: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(asking window, earlier first holder) of one key that the first round may not settle, AT_ONCE or a window's at a time.
+
+    Windows with all words told ask those of other classes (of), others ask all. Sorted by (key, of).
+    """
+    firsts = np.flatnonzero(first)
+    count = np.concatenate((np.zeros(1, np.int64), np.cumsum(first)))
+    fresh = np.r_[True, np.diff(key) != 0][: len(key)]
+    kinds = fresh | np.r_[True, np.diff(of) != 0][: len(key)]
+
+    def bounds(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins, group = np.flatnonzero(lead), np.cumsum(lead) - 1
+        return count[begins][group], count[np.r_[begins[1:], len(key)]][group]
+
+    (low, high), (from_, to) = bounds(fresh), bounds(kinds)
+    asking = np.flatnonzero(more)
+    skip_from, skip_to = np.where(told, from_, high)[asking], np.where(told, to, high)[asking]
+    low, high = low[asking], high[asking]
+    total = np.cumsum(skip_from - low + high - skip_to)
+    start = 0
+    while start < len(asking):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + AT_ONCE, side="right")))
+        w = slice(start, end)
+        a = np.concatenate((np.repeat(asking[w], (skip_from - low)[w]), np.repeat(asking[w], (high - skip_to)[w])))
+        b = firsts[np.concatenate((ranges(low[w], (skip_from - low)[w]), ranges(skip_to[w], (high - skip_to)[w])))]
+        keep = apart(doc, at, a, b)
+        yield a[keep], b[keep]
+        start = end
+
+
+_LEFT = "run int, bucket int, kind int, blob binary, ids array<long>"
+
+
+def _met_again(table: pa.Table) -> pa.Table:
+    """Questions of the second round, and with them the ids of the documents they touch."""
+    got = [unpack(b) for b in table.column("blob").to_pylist()]
+    key = np.concatenate([np.cumsum(g["step"], dtype=np.uint64) for g in got])
+    c = {k: np.concatenate([g[k] for g in got]) for k in got[0]} | {"run": np.repeat(np.array(table.column("run").to_pylist()), [len(g["at"]) for g in got])}
+    order = np.lexsort((c["at"], c["doc"], c["of"], key))
+    key, c = key[order], {k: v[order] for k, v in c.items()}
+    bucket, rows = table.column("bucket")[0].as_py(), []
+    for a, b in left_over(key, c["of"], c["doc"], c["at"].astype(np.int64), c["first"], c["more"], c["told"]):
+        order = np.lexsort((c["at"][a], c["doc"][b], c["nth"][a], c["doc"][a], c["run"][a]))
+        a, b = a[order], b[order]
+        run = c["run"][a]
+        for r in np.unique(run).tolist():
+            i, j = np.searchsorted(run, [r, r + 1])
+            x, y = a[i:j], b[i:j]
+            blob = pack({k: c[k][x] for k in ("doc", "nth", "at", "before", "behind")} | {"other": c["doc"][y], "other_at": c["at"][y], "same": c["of"][x] == c["of"][y]})
+            rows.append((r, bucket, 0, blob, np.union1d(c["doc"][x], c["doc"][y]).tolist()))
+    out = _rows([r[:4] for r in rows], "run", "bucket", "kind", "blob")
+    return out.append_column("ids", pa.array([r[4] for r in rows], pa.list_(pa.int64())))
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans and links of both rounds as one."""
+    for batch in batches:
+        spans, links = batch.column("spans").to_pylist(), batch.column("repeats_of").to_pylist()
+        for k, (more, others) in enumerate(zip(batch.column("_spans").to_pylist(), batch.column("_links").to_pylist())):
+            if more or others:
+                links[k] = sorted({*links[k], *others})
+                joined: list[dict[str, int]] = []
+                for x in sorted(spans[k] + more, key=lambda x: x["first_word"]):
+                    if joined and x["first_word"] <= joined[-1]["last_word"] + 1:
+                        joined[-1]["last_word"] = max(joined[-1]["last_word"], x["last_word"])
+                    else:
+                        joined.append(dict(x))
+                spans[k] = joined
+        columns = {f.name: batch.column(f.name) for f in _RESULT} | {"spans": pa.array(spans, _RESULT.field("spans").type), "repeats_of": pa.array(links, pa.list_(pa.int64()))}
+        yield pa.RecordBatch.from_pydict(columns, schema=_RESULT)
+
+
+def _rounds(docs: DataFrame, run_bytes: int, classes: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, n_words, spans, repeats_of, text_md5) and, with classes, (node, root) of linked documents.
+
+    Without classes the second round looks for words alone.
+    """
     runs, n = in_runs(docs, run_bytes)
     buckets = pieces(n, 2)
     counted = runs.groupBy("run").applyInArrow(lean(_distinct(buckets)), _ROWS).groupBy("bucket").applyInArrow(lean(_counted), "run int, bucket int, blob binary")
-    replies = with_answers(runs, counted, _windows(buckets), _ROWS).groupBy("bucket").applyInArrow(lean(_met), "run int, bucket int, blob binary")
+    replies = with_answers(runs, counted, _windows(buckets), _ROWS).groupBy("bucket").applyInArrow(lean(_met), _MET)
+    both = stored(_answered(runs, replies, n))
+    found, left = both.filter("left IS NULL"), both.filter("left IS NOT NULL").select("run", "bucket", "left")
+    result = found.select(*_RESULT.names)
+    roots = _roots(result) if classes else None
+    if left.isEmpty():
+        return result, roots
+    of = found.filter("doc_id IS NOT NULL").select(F.col("run").alias("_run"), F.col("doc_id").alias("_id")).distinct()
+    of = of.join(roots, F.col("_id") == F.col("node")) if classes else of.withColumn("root", F.lit(0).cast("long"))
+    release_shuffles(docs.sparkSession)
+    asked = stored(left.groupBy("run").cogroup(of.groupBy("_run")).applyInArrow(lean(_classed), _ROWS).groupBy("bucket").applyInArrow(lean(_met_again), _LEFT))
+    if asked.isEmpty():
+        return result, roots
+    ids = stored(asked.select(F.explode("ids").alias("_id")).distinct())
+    release_shuffles(docs.sparkSession)
+    few = dealt(docs.join(ids, docs["doc_id"].cast("long") == ids["_id"], "left_semi"), n)
+    again = _answered(few, asked.select("run", "bucket", "kind", "blob"), n).filter("size(spans) > 0")
+    again = again.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("spans").alias("_spans"), F.col("repeats_of").alias("_links"))
+    again = stored(again.dropDuplicates(["_id", "_md5"]))
+    result = stored(result.join(again, (F.col("doc_id") == F.col("_id")) & (F.col("text_md5") == F.col("_md5")), "left").mapInArrow(lean_batches(_united), _RESULT_DDL))
+    return result, _roots(result) if classes else None
+
+
+def _answered(runs: DataFrame, replies: DataFrame, n: int) -> DataFrame:
     # Requests are dealt by the run they ask, states by their own: one exchange serves both readers, and as all is one job
     # the documents are dealt once.
     work = with_answers(runs, replies, _proposed(n), _WORK)
     served = with_answers(runs, work, _served_work, "run int, bucket int, blob binary")
-    return with_answers(work, served, _judged_work, _RESULT_DDL)
+    return with_answers(work, served, _judged_work, _FOUND_DDL)
+
+
+def _roots(found: DataFrame) -> DataFrame:
+    return components(found.select(F.col("doc_id").alias("a"), F.explode("repeats_of").alias("b")))
+
+
+def passages(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """doc_id, n_words, spans (words of passages that near-duplicate earlier ones, from 0, last included), repeats_of, text_md5."""
+    return _rounds(docs, run_bytes, classes=False)[0]
 
 
 def near_duplicate_passages(docs: DataFrame) -> DataFrame:
     """passages(), with n_repeated (words in spans), n_links and class_id: the smallest doc_id that links lead to.
 
-    A document that repeats a passage is linked to its earlier holders, but for those that repeat a linked one there.
+    A document that repeats a passage is linked to its earlier holders, but for those that repeat a linked one there and,
+    where a token has many holders, those that are of its class by other links.
     """
-    found = stored(passages(docs))
-    links = found.select(F.col("doc_id").alias("a"), F.explode("repeats_of").alias("b"))
-    roots = components(links).select(F.col("node").alias("_node"), "root")
+    found, roots = _rounds(docs, RUN_BYTES, classes=True)
+    roots = roots.select(F.col("node").alias("_node"), "root")
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last_word"] - x["first_word"] + 1)
     out = found.join(roots, F.col("doc_id") == F.col("_node"), "left")
     return out.select("doc_id", "n_words", words.alias("n_repeated"), F.size("repeats_of").cast("long").alias("n_links"), F.coalesce("root", "doc_id").alias("class_id"), "spans", "repeats_of")

@@ -36,9 +36,14 @@ def in_runs(docs: DataFrame, each: int = RUN_BYTES, *more: Column) -> tuple[Data
     """(run, doc_id, text, more...) and the number of runs. Rows without an id are spread by their text."""
     release_shuffles(docs.sparkSession)  # those of an earlier stage
     n = pieces(text_bytes(docs), each)
+    return dealt(docs, n, *more), n
+
+
+def dealt(docs: DataFrame, n: int, *more: Column) -> DataFrame:
+    """(run, doc_id, text, more...) over n runs."""
     rows = id_and_text(docs)
     key = F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    return rows.select(F.pmod(key, F.lit(n)).cast("int").alias("run"), "doc_id", "text", *more), n
+    return rows.select(F.pmod(key, F.lit(n)).cast("int").alias("run"), "doc_id", "text", *more)
 
 
 def bucket_bounds(keys: np.ndarray, n: int) -> np.ndarray:
